@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from skylag.functions import fixed
-from skylag.functions.lookup import airport, flag, literal_map, literal_struct_map, lookup, number
+from skylag.functions.lookup import airport, flag, half_even, literal_map, literal_struct_map, lookup, number
 
 
 def delayed(minutes: str | Column, threshold: float = fixed.DELAY_THRESHOLD) -> Column:
@@ -125,9 +125,9 @@ def impact_columns(weather: Column, hour: Column, holiday: Column) -> dict[str,
     )
     on_time = F.greatest(F.lit(fixed.IMPACT_ON_TIME_FLOOR), F.lit(fixed.IMPACT_ON_TIME_PCT) / multiplier)
     return {
-        "delay_multiplier": F.round(multiplier, 3),
-        "avg_added_delay_min": F.round(row["minutes"] * (multiplier / row["multiplier"]), 1),
-        "adjusted_on_time_pct": F.when(multiplier.isNotNull(), F.round(on_time, 1)),
+        "delay_multiplier": half_even(multiplier, 3),
+        "avg_added_delay_min": half_even(row["minutes"] * (multiplier / row["multiplier"]), 1),
+        "adjusted_on_time_pct": F.when(multiplier.isNotNull(), half_even(on_time, 1)),
         "severity": row["severity"],
         "recommendation": F.when(multiplier.isNotNull(), advice(multiplier)),
     }
@@ -165,7 +165,7 @@ def expected_minutes(
     if method == "tier":
         return literal_map(fixed.TIER_MINUTES)[delay_tier(probability, cuts)]
     if method == "linear":
-        return F.round(probability * fixed.MINUTES_PER_UNIT_PROBABILITY, 1)
+        return half_even(probability * fixed.MINUTES_PER_UNIT_PROBABILITY, 1)
     raise ValueError(f"method must be 'tier' or 'linear', not {method!r}")
 
 

@@ -11,7 +11,9 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -26,6 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylag.functions import fixed, flight
+from skylag.functions.lookup import half_even
 from skylag.operators.features import align_features, feature_value
 from skylag.operators.stats import class_weights
 from skylag.sources.scratch import ensure_checkpoint_dir, materialize
@@ -61,7 +64,7 @@ class EnsembleParams:
     @classmethod
     def small(cls) -> EnsembleParams:
         """A quick ensemble for trials."""
-        return cls(BoostedParams(max_iter=3, max_depth=3), BoostedParams(max_iter=3, max_depth=3), ForestParams(4, 4))
+        return cls(BoostedParams(max_iter=2, max_depth=3), BoostedParams(max_iter=2, max_depth=3), ForestParams(4, 4))
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -87,20 +90,23 @@ def _positive(column: str) -> Column:
     return vector_to_array(F.col(column))[1]
 
 
-def _boosted(p: BoostedParams, name: str, weight: str, seed: int) -> GBTClassifier:
+def _named(learner, name: str):
+    """Own output columns per learner; the class column is not needed."""
+    return learner.setPredictionCol("").setRawPredictionCol(f"_raw_{name}").setProbabilityCol(f"_prob_{name}")
+
+
+def _boosted(p: BoostedParams, weight: str, seed: int) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features", labelCol="label", weightCol=weight,
         maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step_size,
         subsamplingRate=p.subsample, featureSubsetStrategy=str(p.feature_share), seed=seed,
-        predictionCol="", rawPredictionCol=f"_raw_{name}", probabilityCol=f"_prob_{name}",
     )
 
 
-def _forest(p: ForestParams, name: str, weight: str, seed: int) -> RandomForestClassifier:
+def _forest(p: ForestParams, weight: str, seed: int) -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol=weight,
         numTrees=p.num_trees, maxDepth=p.max_depth, seed=seed,
-        predictionCol="", rawPredictionCol=f"_raw_{name}", probabilityCol=f"_prob_{name}",
     )
 
 
@@ -111,15 +117,17 @@ class DelayEnsemble(Estimator):
         self,
         features: list[str],
         label: str = "is_delayed",
-        params: EnsembleParams | None = None,
+        settings: EnsembleParams | None = None,
         id_column: str | None = "flight_id",
+        parallelism: int = FOLDS,
     ):
         super().__init__()
+        self.parallelism = parallelism
         self.features, self.label, self.id_column = list(features), label, id_column
-        self.params = params or EnsembleParams()
+        self.settings = settings or EnsembleParams()
 
     def _fit(self, df: DataFrame) -> DelayEnsembleModel:
-        p = self.params
+        p = self.settings
         ensure_checkpoint_dir(df.sparkSession)
         keep = [self.label] + ([self.id_column] if self.id_column in df.columns else [])
         aligned = align_features(df, self.features, keep).where(F.col(self.label).isNotNull())
@@ -154,22 +162,25 @@ class DelayEnsemble(Estimator):
             .select("label", "_fold", "features", "_w_scaled", "_w_balanced"),
             "scaled",
         )
-        folds = [self._fit_fold(scaled, k) for k in range(FOLDS)]
-        return DelayEnsembleModel(self.features, prepare, folds, self.params)
+        # The folds are independent jobs; side by side they fill each other's gaps.
+        with ThreadPool(self.parallelism) as pool:
+            fit_fold = inheritable_thread_target(df.sparkSession)(lambda k: self._fit_fold(scaled, k))
+            folds = pool.map(fit_fold, range(FOLDS))
+        return DelayEnsembleModel(self.features, prepare, folds, self.settings)
 
     def _fit_fold(self, rows: DataFrame, k: int) -> FoldModels:
-        p = self.params
+        p = self.settings
         train, held_out = rows.where(F.col("_fold") != k), rows.where(F.col("_fold") == k)
         learners = [
-            _boosted(p.boosted_first, f"a{k}", "_w_scaled", p.seed).fit(train),
-            _boosted(p.boosted_second, f"b{k}", "_w_balanced", p.seed + 1).fit(train),
-            _forest(p.forest, f"c{k}", "_w_balanced", p.seed).fit(train),
+            _named(_boosted(p.boosted_first, "_w_scaled", p.seed), f"a{k}").fit(train),
+            _named(_boosted(p.boosted_second, "_w_balanced", p.seed + 1), f"b{k}").fit(train),
+            _named(_forest(p.forest, "_w_balanced", p.seed), f"c{k}").fit(train),
         ]
         # Ties are averaged by an isotonic fit anyway, so equal votes become one weighted
         # point. Rounded votes bound the points (and MLlib's merge on the driver) by 10^6.
         points = (
             _vote(held_out, learners, k)
-            .groupBy(F.round(f"_vote_{k}", SCORE_DIGITS).alias("_vote"))
+            .groupBy(half_even(f"_vote_{k}", SCORE_DIGITS).alias("_vote"))
             .agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n"))
         )
         isotonic = IsotonicRegression(
@@ -207,9 +218,9 @@ class FoldModels:
 
 
 class DelayEnsembleModel(Model):
-    def __init__(self, features: list[str], prepare: PipelineModel, folds: list[FoldModels], params: EnsembleParams):
+    def __init__(self, features: list[str], prepare: PipelineModel, folds: list[FoldModels], settings: EnsembleParams):
         super().__init__()
-        self.features, self.prepare, self.folds, self.params = features, prepare, folds, params
+        self.features, self.prepare, self.folds, self.settings = features, prepare, folds, settings
 
     def _score(self, df: DataFrame) -> DataFrame:
         for k, fold in enumerate(self.folds):
@@ -219,8 +230,8 @@ class DelayEnsembleModel(Model):
         mean = lambda cols: reduce(lambda a, b: a + b, cols) / len(cols)
         return df.withColumns(
             {
-                "ensemble_vote": F.round(mean(votes), SCORE_DIGITS),
-                PROBABILITY: F.round(mean(calibrated), SCORE_DIGITS),
+                "ensemble_vote": half_even(mean(votes), SCORE_DIGITS),
+                PROBABILITY: half_even(mean(calibrated), SCORE_DIGITS),
             }
         ).drop(*[f"_vote_{k}" for k in range(FOLDS)], *[f"_calibrated_{k}" for k in range(FOLDS)])
 
@@ -250,16 +261,16 @@ class DelayEnsembleModel(Model):
                 model.write().overwrite().save(f"{path}/fold={k}/{name}")
             fold.isotonic.write().overwrite().save(f"{path}/fold={k}/isotonic")
         spark = SparkSession.getActiveSession()
-        manifest = [(self.features, len(self.folds), json.dumps(asdict(self.params)))]
-        spark.createDataFrame(manifest, "features array<string>, folds int, params string").coalesce(
+        manifest = [(self.features, len(self.folds), json.dumps(asdict(self.settings)))]
+        spark.createDataFrame(manifest, "features array<string>, folds int, settings string").coalesce(
             1
         ).write.mode("overwrite").json(f"{path}/manifest")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> DelayEnsembleModel:
-        schema = "features array<string>, folds int, params string"
+        schema = "features array<string>, folds int, settings string"
         row = spark.read.schema(schema).json(f"{path}/manifest").first()
-        raw = json.loads(row["params"])
+        raw = json.loads(row["settings"])
         params = EnsembleParams(
             BoostedParams(**raw.pop("boosted_first")),
             BoostedParams(**raw.pop("boosted_second")),

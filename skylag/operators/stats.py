@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skylag.functions import fixed
 from skylag.functions.flight import delayed
-from skylag.functions.lookup import flag, number
+from skylag.functions.lookup import flag, half_even, number
 from skylag.operators.cumulative import cumulative_counts, linear_percentile
 
 
@@ -159,8 +159,8 @@ def delay_stats(
         stats = stats.where((F.col("is_global") == 1) | (F.col("carrier_code") == carrier.upper()))
     return stats.select(
         F.col("carrier_code").alias("carrier"),
-        F.round((1 - F.col("delay_rate")) * 100, 1).alias("on_time_pct"),
-        F.round("mean_delay", 1).alias("avg_delay_min"),
+        half_even((1 - F.col("delay_rate")) * 100, 1).alias("on_time_pct"),
+        half_even("mean_delay", 1).alias("avg_delay_min"),
     )
 
 

@@ -15,6 +15,12 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows)
 
 
+def even(expr: str, digits: int) -> str:
+    """Rounding of the binary value, ties to even (a cast to an integer does that)."""
+    scale = f"1e{digits}::DOUBLE"
+    return f"CAST(CAST(({expr}) * {scale} AS BIGINT) / {scale} AS DOUBLE)"
+
+
 AIRPORTS = "airports(code, lon, lat) AS (VALUES " + _values((c, *p) for c, p in fixed.AIRPORTS.items()) + ")"
 HUBS = "hubs(code) AS (VALUES " + _values((c,) for c in fixed.HUBS) + ")"
 CARRIERS = (
@@ -106,14 +112,14 @@ scored AS (
 parts AS (
   SELECT *, 0.50 * base AS hc, 0.25 * least(1.0, (sens - 0.9) / 0.4 * wf) AS wc,
          0.25 * least(1.0, (peak - 1.0) / 0.35) AS cc FROM scored)
-SELECT {extra} carrier_code, round(least(1.0, hc + wc + cc), 4) AS risk_score"""
+SELECT {extra} carrier_code, {even("least(1.0, hc + wc + cc)", 4)} AS risk_score"""
 
 
-RISK_COLUMNS = """, round(base, 4) AS base_delay_rate, CAST(round(sens, 4) AS DOUBLE) AS weather_sensitivity,
+RISK_COLUMNS = f""", {even("base", 4)} AS base_delay_rate, CAST(round(sens, 4) AS DOUBLE) AS weather_sensitivity,
   CAST(peak AS DOUBLE) AS peak_hour_multiplier, CAST(coalesce(sample_size, 0) AS BIGINT) AS sample_size,
-  CAST(round(coalesce(mean_delay_minutes, 32.0), 2) AS DOUBLE) AS mean_delay_minutes,
-  CAST(round(coalesce(p90_delay_minutes, 75.0), 2) AS DOUBLE) AS p90_delay_minutes,
-  round(hc, 4) AS historical_component, round(wc, 4) AS weather_component, round(cc, 4) AS congestion_component
+  {even("coalesce(mean_delay_minutes, 32.0)", 2)} AS mean_delay_minutes,
+  {even("coalesce(p90_delay_minutes, 75.0)", 2)} AS p90_delay_minutes,
+  {even("hc", 4)} AS historical_component, {even("wc", 4)} AS weather_component, {even("cc", 4)} AS congestion_component
 FROM parts"""
 OPEN = "CAST(NULL AS INT) AS hour, CAST(NULL AS VARCHAR) AS word"
 NO_HISTORY = """CAST(NULL AS BIGINT) AS sample_size, CAST(NULL AS DOUBLE) AS delay_rate,
@@ -121,12 +127,12 @@ NO_HISTORY = """CAST(NULL AS BIGINT) AS sample_size, CAST(NULL AS DOUBLE) AS del
 
 ROUTE_RISK = f"""
 SELECT origin, destination,
-  round(least(1.0, rate * CASE WHEN hubs = 1 THEN 1.12 ELSE 0.95 END * CASE WHEN east THEN 0.97 ELSE 1.03 END), 4) AS risk_score,
-  round(rate, 4) AS historical_delay_rate,
-  CAST(round(coalesce(mean_delay_minutes, 32.0), 2) AS DOUBLE) AS mean_delay_minutes,
-  CAST(round(coalesce(p90_delay_minutes, 75.0), 2) AS DOUBLE) AS p90_delay_minutes,
+  {even("least(1.0, rate * CASE WHEN hubs = 1 THEN 1.12 ELSE 0.95 END * CASE WHEN east THEN 0.97 ELSE 1.03 END)", 4)} AS risk_score,
+  {even("rate", 4)} AS historical_delay_rate,
+  {even("coalesce(mean_delay_minutes, 32.0)", 2)} AS mean_delay_minutes,
+  {even("coalesce(p90_delay_minutes, 75.0)", 2)} AS p90_delay_minutes,
   hubs = 1 AS is_hub_to_hub, east AS is_eastbound,
-  CAST(round(route_distance_miles, 1) AS DOUBLE) AS route_distance_miles,
+  {even("route_distance_miles", 1)} AS route_distance_miles,
   CAST(coalesce(sample_size, 0) AS BIGINT) AS sample_size
 FROM (
   SELECT h.*, CAST(coalesce(delay_rate, 0.22) AS DOUBLE) AS rate, {_hub("origin")} * {_hub("destination")} AS hubs,
@@ -220,7 +226,7 @@ DRIFT_SUMMARY = f"""WITH {KS}, tests AS ({KS_SELECT})
 SELECT (SELECT count(*) FROM flights_cur) AS batch_size, CAST(3 AS INT) AS n_numeric_tested,
   count(*) FILTER (WHERE drifted) AS n_drifted,
   coalesce(string_agg(feature, ',' ORDER BY feature) FILTER (WHERE drifted), '') AS drifted_features,
-  round({SHIFT}, 4) AS score_shift, CAST(round({CUR_MISSING}, 4) AS DOUBLE) AS missing_ratio,
+  {even(SHIFT, 4)} AS score_shift, {even(CUR_MISSING, 4)} AS missing_ratio,
   (count(*) FILTER (WHERE drifted)) > 0 OR abs({SHIFT}) > 0.07 AS drift_detected
 FROM tests"""
 
@@ -366,12 +372,12 @@ ORACLES: dict[str, str] = {
     "route_history": f"""WITH {FLIGHTS}, {ROUTE_HISTORY} SELECT origin, destination, sample_size, round(delay_rate, 6) AS delay_rate,
         round(mean_delay_minutes, 6) AS mean_delay_minutes, round(p90_delay_minutes, 6) AS p90_delay_minutes,
         round(route_distance_miles, 6) AS route_distance_miles FROM history""",
-    "delay_stats": f"""WITH {FLIGHTS}, {STATS} SELECT code AS carrier, round((1 - delay_rate) * 100, 1) AS on_time_pct,
-        round(mean_delay, 1) AS avg_delay_min FROM stats
-        UNION ALL SELECT NULL, round((1 - delay_rate) * 100, 1), round(mean_delay, 1) FROM overall""",
-    "delay_stats_one_carrier": f"""WITH {FLIGHTS}, {STATS} SELECT code AS carrier, round((1 - delay_rate) * 100, 1) AS on_time_pct,
-        round(mean_delay, 1) AS avg_delay_min FROM stats WHERE code = 'DL'
-        UNION ALL SELECT NULL, round((1 - delay_rate) * 100, 1), round(mean_delay, 1) FROM overall""",
+    "delay_stats": f"""WITH {FLIGHTS}, {STATS} SELECT code AS carrier, {even("(1 - delay_rate) * 100", 1)} AS on_time_pct,
+        {even("mean_delay", 1)} AS avg_delay_min FROM stats
+        UNION ALL SELECT NULL, {even("(1 - delay_rate) * 100", 1)}, {even("mean_delay", 1)} FROM overall""",
+    "delay_stats_one_carrier": f"""WITH {FLIGHTS}, {STATS} SELECT code AS carrier, {even("(1 - delay_rate) * 100", 1)} AS on_time_pct,
+        {even("mean_delay", 1)} AS avg_delay_min FROM stats WHERE code = 'DL'
+        UNION ALL SELECT NULL, {even("(1 - delay_rate) * 100", 1)}, {even("mean_delay", 1)} FROM overall""",
     "class_weights": f"""WITH {FLIGHTS}, c AS (SELECT CAST({LATE} AS INT) AS is_delayed, count(*) AS n FROM flights GROUP BY 1)
         SELECT is_delayed, n, round(n / CAST((SELECT count(*) FROM flights) AS DOUBLE), 6) AS share,
         round((SELECT count(*) FROM flights) / (2.0 * n), 6) AS weight FROM c""",
@@ -400,8 +406,8 @@ ORACLES: dict[str, str] = {
     "feature_matrix": f"WITH {FEATURES} SELECT flight_id, "
     + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in MATRIX)
     + " FROM features",
-    "weather_impact": f"""WITH {IMPACT} SELECT flight_id, round(m, 3) AS delay_multiplier,
-        round(minutes * (m / base), 1) AS avg_added_delay_min, round(greatest(20.0, 82.0 / m), 1) AS adjusted_on_time_pct,
+    "weather_impact": f"""WITH {IMPACT} SELECT flight_id, {even("m", 3)} AS delay_multiplier,
+        {even("minutes * (m / base)", 1)} AS avg_added_delay_min, {even("greatest(20.0, 82.0 / m)", 1)} AS adjusted_on_time_pct,
         severity FROM impact""",
     "weather_recommendation": f"""WITH {IMPACT} SELECT CASE WHEN m < 1.1 THEN 'Normal operations expected. No action required.'
         WHEN m < 1.4 THEN 'Minor delays possible. Allow extra buffer time for connections.'
@@ -414,7 +420,7 @@ ORACLES: dict[str, str] = {
     "delay_tier_model": f"WITH {FLIGHTS} SELECT flight_id, {_tier('delay_probability', fixed.MODEL_TIER_CUTS)} AS delay_tier FROM flights",
     "expected_delay": f"""WITH {FLIGHTS} SELECT flight_id, CAST(CASE {_tier("delay_probability", fixed.MODEL_TIER_CUTS)}
         WHEN 'SEVERE' THEN 95.0 WHEN 'MODERATE' THEN 42.0 WHEN 'MINOR' THEN 18.0 ELSE 0.0 END AS DOUBLE) AS minutes_by_tier,
-        round(delay_probability * 120, 1) AS minutes_linear FROM flights""",
+        {even("delay_probability * 120", 1)} AS minutes_linear FROM flights""",
     # risk
     "carrier_risk": f"WITH {FLIGHTS}, {CARRIERS}, {WEATHER}, {CARRIER_HISTORY}, rows_in AS (SELECT *, {OPEN} FROM history),"
     + _carrier_risk("rows_in")
@@ -457,8 +463,8 @@ ORACLES: dict[str, str] = {
     # drift
     "ks_statistic": f"WITH {KS} SELECT feature, round(d, 6) AS statistic FROM ks",
     "ks_drift": f"WITH {KS} {KS_SELECT}",
-    "score_shift": f"WITH {PAIR} SELECT round({SHIFT}, 4) AS score_shift, abs({SHIFT}) > 0.07 AS alert",
-    "missing_ratio": f"WITH {FLIGHTS}, shares AS ({NULL_SHARES}) SELECT CAST(round(avg(share), 4) AS DOUBLE) AS missing_ratio FROM shares",
+    "score_shift": f"WITH {PAIR} SELECT {even(SHIFT, 4)} AS score_shift, abs({SHIFT}) > 0.07 AS alert",
+    "missing_ratio": f"WITH {FLIGHTS}, shares AS ({NULL_SHARES}) SELECT {even("avg(share)", 4)} AS missing_ratio FROM shares",
     "drift_summary": DRIFT_SUMMARY,
     "drift_report": DRIFT_SUMMARY.replace("CAST(3 AS INT)", "CAST(3 AS BIGINT)"),
     "dataset_drift": f"""WITH {KS} SELECT round(avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share_drifted,

@@ -18,6 +18,7 @@ def make_session() -> SparkSession:
         SparkSession.builder.master("local[8]")
         .appName("skylag-tests")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", "8")
