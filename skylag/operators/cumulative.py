@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from skylag.sources.scratch import materialize
 
 _SLICE = "_slice"
+TOP_ROWS = 100_000
 
 
 def cumulative_counts(
@@ -61,6 +62,33 @@ def cumulative_counts(
     )
 
 
+def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
+    """Rows offset .. offset+limit-1 in a stated order.
+
+    A page near the start is a top-k. A deep one would drag all rows before it through
+    one task, so rows are numbered by slice instead and only the slices that overlap
+    the page are looked at.
+    """
+    if offset + limit <= TOP_ROWS:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    # The row hash lets rows that share an order key spread over slices.
+    keys = [F.col(c) for c in order] + [F.xxhash64(*df.columns)]
+    sliced = materialize(df.repartitionByRange(*keys).withColumn(_SLICE, F.spark_partition_id()), "pages")
+    earlier = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # One row per slice.
+    starts = sliced.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("_n")).select(
+        _SLICE, "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
+    )
+    wanted = starts.where((F.col("_start") < offset + limit) & (F.col("_start") + F.col("_n") > offset))
+    number = F.row_number().over(Window.partitionBy(_SLICE).orderBy(*keys)) + F.col("_start")
+    return (
+        sliced.join(wanted, _SLICE)
+        .withColumn("_number", number)
+        .where((F.col("_number") > offset) & (F.col("_number") <= offset + limit))
+        .select(*df.columns)
+    )
+
+
 def at_rank(value: str, measure: str, rank: Column) -> Column:
     """Aggregate: the value at a zero-based rank, counting `measure` rows per value."""
     cum = F.col(f"cum_{measure}")

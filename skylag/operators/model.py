@@ -131,15 +131,17 @@ class DelayEnsemble(Estimator):
         ensure_checkpoint_dir(df.sparkSession)
         keep = [self.label] + ([self.id_column] if self.id_column in df.columns else [])
         aligned = align_features(df, self.features, keep).where(F.col(self.label).isNotNull())
-        # Twelve fits read this table; without it each would derive the features again.
+        # Every fit reads this table; without it each would derive the features again.
+        # One folder per fold, so that a fit opens the files of its own folds only.
         rows = materialize(
             aligned.withColumns(
                 {
                     "label": F.col(self.label).cast("double"),
                     "_fold": fold_of(aligned, self.features, p.seed, self.id_column),
                 }
-            ).select("label", "_fold", *self.features),
+            ).select("label", *self.features, "_fold"),
             "training",
+            partition_by="_fold",
         )
         balanced = {r["label"]: r["weight"] for r in class_weights(rows, "label").collect()}  # two rows
         if set(balanced) != {0.0, 1.0}:
@@ -151,7 +153,7 @@ class DelayEnsemble(Estimator):
             ]
         ).fit(rows)
         is_late = F.col("label") == 1
-        scaled = materialize(
+        scaled = (
             prepare.transform(rows)
             .withColumns(
                 {
@@ -159,8 +161,7 @@ class DelayEnsemble(Estimator):
                     "_w_balanced": F.when(is_late, balanced[1.0]).otherwise(balanced[0.0]),
                 }
             )
-            .select("label", "_fold", "features", "_w_scaled", "_w_balanced"),
-            "scaled",
+            .select("label", "_fold", "features", "_w_scaled", "_w_balanced")
         )
         # The folds are independent jobs; side by side they fill each other's gaps.
         with ThreadPool(self.parallelism) as pool:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skylag.functions import fixed, flight
 from skylag.functions.lookup import number
-from skylag.operators import drift, explain, features, impact, metrics, model, quality, risk, stats, validate
+from skylag.operators import cumulative, drift, explain, features, impact, metrics, model, quality, risk, stats, validate
 from skylag.operators.lineage import lineage as trace
 from skylag.plans import jobs, views
 from skylag.sources import branches, files
@@ -343,7 +343,7 @@ def flight_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fitted_features(spark: SparkSession, sf_dir: str) -> tuple[features.FlightFeaturesModel, DataFrame]:
     flights = views.flights(spark, sf_dir)
-    return features.FlightFeatures().fit(flights), flights
+    return features.FlightFeatures(holiday="explicit").fit(flights), flights
 
 
 @query
@@ -662,7 +662,7 @@ def drift_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     flights = views.flights(spark, sf_dir).select("flight_id", "origin", "destination")
-    return files.page(flights, ["flight_id", "origin", "destination"], offset=1000, limit=500)
+    return cumulative.page(flights, ["flight_id", "origin", "destination"], offset=1000, limit=500)
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylag.sources.files import export, with_logged_at
+from skylag.sources.scratch import materialize
 
 MODES = ("snapshot", "append", "update", "delete")
 
@@ -86,6 +87,8 @@ def write(
             raise ValueError(f"mode {mode!r} needs a key")
         keys = [key] if isinstance(key, str) else list(key)
         current = read_branch(spark, root, branch)
+        # Read twice, and their size decides between broadcast and shuffle.
+        df = materialize(df, "changes")
         kept = current.join(df.select(*keys), keys, "left_anti")
         df = kept.unionByName(df, allowMissingColumns=True) if mode == "update" else kept
     path = _version_path(root, branch, _next_version(spark, root, branch))

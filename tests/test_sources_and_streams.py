@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from skylag.operators.cumulative import page
 from skylag.sources import branches, files
 from skylag.streaming import records, scoring
 
@@ -101,9 +102,21 @@ def test_filters_and_columns_reach_the_scan(spark, root):
 
 def test_pages_stop_at_the_end(spark):
     df = spark.range(3)
-    assert [r[0] for r in files.page(df, ["id"], 0, 2).collect()] == [0, 1]
-    assert [r[0] for r in files.page(df, ["id"], 2, 2).collect()] == [2]
-    assert files.page(df, ["id"], 4, 2).isEmpty()
+    assert [r[0] for r in page(df, ["id"], 0, 2).collect()] == [0, 1]
+    assert [r[0] for r in page(df, ["id"], 2, 2).collect()] == [2]
+    assert page(df, ["id"], 4, 2).isEmpty()
+
+
+def test_deep_pages_with_one_hot_order_key(spark, monkeypatch):
+    monkeypatch.setattr("skylag.operators.cumulative.TOP_ROWS", 10)
+    df = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id")
+    pages = [page(df, ["k"], start, 700).collect() for start in range(0, 3_500, 700)]
+    assert [len(p) for p in pages] == [700, 700, 700, 700, 200]
+    rows = [r for p in pages for r in p]
+    assert len({r["id"] for r in rows}) == 3_000
+    ordered = sorted(r["k"] for r in df.collect())
+    for start, part in zip(range(0, 3_500, 700), pages, strict=True):
+        assert sorted(r["k"] for r in part) == ordered[start : start + 700]
 
 
 def test_chunks_and_new_commits(spark, root, tmp_path):
