@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylag.functions import fixed, flight
-from skylag.functions.lookup import number
+from skylag.functions.lookup import half_even, number
 from skylag.operators import cumulative, drift, explain, features, impact, metrics, model, quality, risk, stats, validate
 from skylag.operators.lineage import lineage as trace
 from skylag.plans import jobs, views
@@ -381,7 +381,7 @@ def weather_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted, flights = _fitted_features(spark, sf_dir)
     matrix = fitted.transform(flights)
-    return matrix.select("flight_id", *[r6(F.col(c).cast("double")).alias(c) for c in features.FEATURES])
+    return matrix.select("flight_id", *[half_even(F.col(c).cast("double"), 6).alias(c) for c in features.FEATURES])
 
 
 def _impact(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -672,13 +672,13 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "stream")
-    branches.write(views.flights(spark, sf_dir).repartition(4), root)
+    branches.write(views.flights(spark, sf_dir).repartition(16), root)
     return root
 
 
 @query
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=1)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
     sink = scratch_path(spark, "chunks")
     records.write_all(stream.select("flight_id", "carrier_code", "distance_miles"), sink)
     return (
@@ -690,7 +690,7 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=1)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
     sink = scratch_path(spark, "commits")
 
     def on_commit(rows: DataFrame, batch_id: int) -> None:
@@ -705,7 +705,7 @@ def stream_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights validated, featurised and tiered as a stream, on the given scores."""
     fitted, _ = _fitted_features(spark, sf_dir)
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=1)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
     tiered = scoring.tiers(scoring.prepare_stream(stream, fitted))
     sink = scratch_path(spark, "scored")
     records.write_all(
@@ -723,7 +723,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scoring path with the fitted ensemble on a stream."""
     fitted = _model(spark, sf_dir)
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=2)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
     sink = scratch_path(spark, "predictions")
     scored = scoring.score_stream(stream.drop("delay_probability"), fitted.features, fitted.ensemble)
     records.write_all(scored, sink)
@@ -732,7 +732,7 @@ def stream_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=1)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
     latest: dict[str, str] = {}
 
     def keep(counts: DataFrame, batch_id: int) -> None:

@@ -404,7 +404,7 @@ ORACLES: dict[str, str] = {
     "weather_features": f"""WITH {FLIGHTS}, {WEATHER} SELECT flight_id, CAST(coalesce(ordinal, 0) AS INT) AS weather_severity
         FROM flights LEFT JOIN weather ON word = lower(weather_condition)""",
     "feature_matrix": f"WITH {FEATURES} SELECT flight_id, "
-    + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in MATRIX)
+    + ", ".join(f"{even(c, 6)} AS {c}" for c in MATRIX)
     + " FROM features",
     "weather_impact": f"""WITH {IMPACT} SELECT flight_id, {even("m", 3)} AS delay_multiplier,
         {even("minutes * (m / base)", 1)} AS avg_added_delay_min, {even("greatest(20.0, 82.0 / m)", 1)} AS adjusted_on_time_pct,
