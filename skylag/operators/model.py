@@ -82,8 +82,15 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def fold_of(df: DataFrame, columns: list[str], seed: int, id_column: str | None = "flight_id") -> Column:
     """Fold by hash: needs no count or order per class, and a rerun gives the same folds."""
-    key = [id_column] if id_column and id_column in df.columns else columns
-    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(FOLDS)).cast("int")
+    return F.pmod(row_hash(df, columns, seed, id_column), F.lit(FOLDS)).cast("int")
+
+
+def row_hash(df: DataFrame, columns: list[str], seed: int, id_column: str | None = "flight_id") -> Column:
+    """Hash of the id; rows without one are told apart by the given columns."""
+    whole = F.xxhash64(*columns, F.lit(seed))
+    if not id_column or id_column not in df.columns:
+        return whole
+    return F.when(F.col(id_column).isNull(), whole).otherwise(F.xxhash64(id_column, F.lit(seed)))
 
 
 def _positive(column: str) -> Column:
@@ -203,11 +210,13 @@ def _vote(df: DataFrame, learners: list, k: int) -> DataFrame:
 def with_tier(
     scored: DataFrame, cuts: tuple[float, float, float] = fixed.MODEL_TIER_CUTS, method: str = "tier"
 ) -> DataFrame:
+    """Add tier and expected minutes, and round the probability they were read from."""
     p = F.col(PROBABILITY)
     return scored.withColumns(
         {
             "delay_tier": flight.delay_tier(p, cuts),
             "expected_delay_minutes": flight.expected_minutes(p, method, cuts),
+            PROBABILITY: half_even(p, SCORE_DIGITS),
         }
     )
 
@@ -231,8 +240,8 @@ class DelayEnsembleModel(Model):
         mean = lambda cols: reduce(lambda a, b: a + b, cols) / len(cols)
         return df.withColumns(
             {
-                "ensemble_vote": half_even(mean(votes), SCORE_DIGITS),
-                PROBABILITY: half_even(mean(calibrated), SCORE_DIGITS),
+                "ensemble_vote": mean(votes),
+                PROBABILITY: mean(calibrated),
             }
         ).drop(*[f"_vote_{k}" for k in range(FOLDS)], *[f"_calibrated_{k}" for k in range(FOLDS)])
 
@@ -251,7 +260,7 @@ class DelayEnsembleModel(Model):
     def predict(
         self, df: DataFrame, cuts: tuple[float, float, float] = fixed.MODEL_TIER_CUTS, method: str = "tier"
     ) -> DataFrame:
-        """`transform` plus `delay_tier` and `expected_delay_minutes`."""
+        """`transform` plus `delay_tier` and `expected_delay_minutes`, the probability rounded."""
         return with_tier(self.transform(df), cuts, method)
 
     def save(self, path: str) -> None:

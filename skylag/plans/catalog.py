@@ -528,14 +528,14 @@ def soft_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = _model(spark, sf_dir)
     scored = fitted.ensemble.transform(fitted.features.transform(views.flights(spark, sf_dir).drop("delay_probability")))
-    return scored.select("flight_id", "ensemble_vote")
+    return scored.select("flight_id", r6("ensemble_vote").alias("ensemble_vote"))
 
 
 @query
 def calibrated_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     fitted = _model(spark, sf_dir)
     scored = fitted.ensemble.transform(fitted.features.transform(views.flights(spark, sf_dir).drop("delay_probability")))
-    return scored.select("flight_id", "delay_probability")
+    return scored.select("flight_id", r6("delay_probability").alias("delay_probability"))
 
 
 @query
@@ -544,12 +544,22 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored
 
 
+def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
+    """How many rows there are, and how many of them the other table lacks."""
+    return one.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(
+        F.broadcast(one.exceptAll(other).agg(F.count(F.lit(1)).alias("n_different")))  # one row each
+    )
+
+
 @query
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "model")
-    _model(spark, sf_dir).save(path)
-    scored, _ = jobs.score(views.raw_flights(spark, sf_dir), jobs.Fitted.load(spark, path))
-    return scored
+    """All flights scored with the model before and after it was saved and loaded."""
+    path, raw = scratch_path(spark, "model"), views.raw_flights(spark, sf_dir)
+    fitted = _model(spark, sf_dir)
+    fitted.save(path)
+    before, _ = jobs.score(raw, fitted)
+    after, _ = jobs.score(raw, jobs.Fitted.load(spark, path))
+    return _differences(before, after)
 
 
 @query
@@ -721,13 +731,14 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole scoring path with the fitted ensemble on a stream."""
+    """The whole scoring path with the fitted ensemble, on a stream and as a batch."""
     fitted = _model(spark, sf_dir)
     stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
     sink = scratch_path(spark, "predictions")
     scored = scoring.score_stream(stream.drop("delay_probability"), fitted.features, fitted.ensemble)
     records.write_all(scored, sink)
-    return spark.read.parquet(sink).drop("logged_at")
+    batch, _ = jobs.score(views.flights(spark, sf_dir).drop("delay_probability"), fitted)
+    return _differences(spark.read.parquet(sink).drop("logged_at"), batch)
 
 
 @query

@@ -13,7 +13,7 @@ from skylag.operators.drift import drift_halves
 from skylag.operators.features import FlightFeatures, FlightFeaturesModel, label_delayed
 from skylag.operators.explain import ATTRIBUTIONS, explain
 from skylag.operators.metrics import long_metrics, ranking_metrics
-from skylag.operators.model import PROBABILITY, DelayEnsemble, DelayEnsembleModel, EnsembleParams, with_tier
+from skylag.operators.model import PROBABILITY, DelayEnsemble, DelayEnsembleModel, EnsembleParams, row_hash, with_tier
 from skylag.operators.risk import risk_all_carriers, with_carrier_risk
 from skylag.operators.stats import mean_score
 from skylag.operators.validate import fill_defaults, validate
@@ -60,8 +60,13 @@ def evaluate(fitted: Fitted, flights: DataFrame) -> DataFrame:
         ),
         "evaluation",
     )
-    # Two tables of one row.
-    return ranking_metrics(scored, PROBABILITY, LABEL).crossJoin(F.broadcast(mean_score(scored, PROBABILITY)))
+    size = scored.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(LABEL).alias("delay_rate"))
+    # Three tables of one row.
+    return (
+        ranking_metrics(scored, PROBABILITY, LABEL)
+        .crossJoin(F.broadcast(mean_score(scored, PROBABILITY)))
+        .crossJoin(F.broadcast(size))
+    )
 
 
 def train(
@@ -80,8 +85,7 @@ def train(
         raise ValueError("validation_fraction must be in [0, 1)")
     splits = {"train": flights}
     if validation_fraction:
-        key = [F.col("flight_id")] if "flight_id" in flights.columns else [F.col(c) for c in flights.columns]
-        bucket = F.pmod(F.xxhash64(*key, F.lit(7)), F.lit(10_000))
+        bucket = F.pmod(row_hash(flights, flights.columns, seed=7), F.lit(10_000))
         held_out = bucket < int(validation_fraction * 10_000)
         splits = {"train": flights.where(~held_out), "val": flights.where(held_out)}
     fitted, _ = fit(splits["train"], params, zero_if_unknown)

@@ -455,6 +455,8 @@ ORACLES: dict[str, str] = {
     "soft_vote": f"""WITH {FLIGHTS} SELECT flight_id, round(0.4::DOUBLE * delay_probability
         + 0.4::DOUBLE * least(1.0::DOUBLE, coalesce(prior_leg_delay_minutes::DOUBLE, 0) / 120)
         + 0.2::DOUBLE * coalesce(distance_miles, 0) / 2801, 6) AS vote FROM flights""",
+    "model_roundtrip": f"""WITH {RAW} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different
+        FROM raw_flights WHERE {N_ERRORS} = 0""",
     "topk_attributions": f"""WITH {GIVEN} SELECT flight_id, feature, round(value, 6) AS value FROM given
         QUALIFY row_number() OVER (PARTITION BY flight_id ORDER BY abs(value) DESC, feature) <= 3""",
     "auc_roc": f"WITH {RANKED} SELECT round({AUC}, 6) AS value FROM t",
@@ -481,5 +483,7 @@ ORACLES: dict[str, str] = {
         CAST(weather_severity AS INT) AS weather_severity
         FROM (SELECT * EXCLUDE (prior_leg_delay_minutes), given_prior AS prior_leg_delay_minutes FROM features)
         WHERE {FLIGHT_RULES} = 0""",
+    "stream_model_score": f"""WITH {FLIGHTS} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different
+        FROM flights WHERE {FLIGHT_RULES} = 0""",
     "stream_score_histogram": f"WITH {FLIGHTS} {_histogram('flights')}",
 }

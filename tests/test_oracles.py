@@ -13,11 +13,9 @@ ROWS_ONLY = {
     "ensemble_score",
     "calibrated_score",
     "score_batch",
-    "model_roundtrip",
     "evaluate",
     "occlusion_attributions",
     "stream_subscribe",
-    "stream_model_score",
 }
 
 
