@@ -19,6 +19,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from skylag.plans.catalog import QUERIES  # noqa: E402
+from skylag.sources.session import tune  # noqa: E402
 
 HEADLINE = [
     "carrier_risk", "route_risk", "carrier_history", "fit_stats", "delay_stats", "feature_matrix",
@@ -44,7 +45,7 @@ def session(cpus: str) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return tune(spark)
 
 
 def seconds(spark: SparkSession, sf_dir: str, name: str) -> float:

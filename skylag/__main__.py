@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from skylag.operators.drift import DriftMonitor
 from skylag.plans import jobs
 from skylag.sources.files import read_flights
+from skylag.sources.session import tune
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -29,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     drift.add_argument("--monitor-dir", required=True)
     args = parser.parse_args(argv)
 
-    spark = SparkSession.builder.appName("skylag").getOrCreate()
+    spark = tune(SparkSession.builder.appName("skylag").getOrCreate())
     if args.command == "train":
         _, metrics = jobs.train_file(
             spark,
