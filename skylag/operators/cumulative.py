@@ -21,13 +21,19 @@ TOP_ROWS = 100_000
 
 
 def cumulative_counts(
-    counts: DataFrame, keys: Sequence[str], value: str, measures: Sequence[str]
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    measures: Sequence[str],
+    slices: Column | None = None,
 ) -> DataFrame:
     """Add `cum_<m>` (running sum up to and including the value) and `total_<m>`.
 
     `counts` holds one row per (keys, value); keys are never NULL, and a NULL value
     sorts first. The sliced table is written once, because the slice borders are
-    sampled and must be the same for the offsets and for the rows.
+    sampled and must be the same for the offsets and for the rows. `slices`, a
+    condition over `before_<m>`, `in_<m>` and `total_<m>`, leaves out slices that the
+    caller does not need before their rows are sorted.
     """
     keys = list(keys)
     sliced = materialize(
@@ -42,14 +48,17 @@ def cumulative_counts(
     # One row per slice and key at most: partitions plus keys, not rows.
     offsets = (
         sliced.groupBy(*keys, _SLICE)
-        .agg(*[F.sum(m).alias(m) for m in measures])
+        .agg(*[F.sum(m).alias(f"in_{m}") for m in measures])
         .select(
             *keys,
             _SLICE,
-            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"before_{m}") for m in measures],
-            *[F.sum(m).over(whole).alias(f"total_{m}") for m in measures],
+            *[f"in_{m}" for m in measures],
+            *[F.coalesce(F.sum(f"in_{m}").over(earlier), F.lit(0)).alias(f"before_{m}") for m in measures],
+            *[F.sum(f"in_{m}").over(whole).alias(f"total_{m}") for m in measures],
         )
     )
+    if slices is not None:
+        offsets = offsets.where(slices)
     inside = (
         Window.partitionBy(*keys, _SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )
