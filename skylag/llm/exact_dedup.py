@@ -27,7 +27,7 @@ from skylag.sources.scratch import materialize
 
 DIRECTORY_BITS = 16
 #: Bytes of text for which one bucket is meant.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
 #: A scan task hands on the nodes it has combined when they hold this many bytes.
 COMBINE_BYTES = 32 << 20
 #: Each group of copies is offered under so many salts to the rows that look it up.
@@ -179,12 +179,15 @@ class Index:
         nodes = copies.select(
             text_key(text).alias("key"), col(id_column).cast("long").alias("doc_id"), raw.cast("binary").alias("text")
         ).mapInArrow(_combine, _NODE_SQL)
-        address = spark.createDataFrame(list(enumerate(self.directory)), "_slot int, bucket int")
-        at = F.shiftrightunsigned("key", 64 - self.depth).cast("int") if self.depth else F.lit(0)
+        if self.depth:
+            address = spark.createDataFrame(list(enumerate(self.directory)), "_slot int, bucket int")
+            at = F.shiftrightunsigned("key", 64 - self.depth).cast("int")
+            # at most 2 ** DIRECTORY_BITS rows
+            nodes = nodes.withColumn("_slot", at).join(F.broadcast(address), "_slot")
+        else:
+            nodes = nodes.withColumn("bucket", F.lit(0))
         owned = (
-            nodes.withColumn("_slot", at)
-            .join(F.broadcast(address), "_slot")  # at most 2 ** DIRECTORY_BITS rows
-            .repartition(self.buckets, "bucket")
+            nodes.repartition(self.buckets, "bucket")
             .sortWithinPartitions("bucket", "key")
             .select("key", "keep_id", "group_size", "text")
         )
