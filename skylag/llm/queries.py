@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skylag.llm import decontaminate, exact_dedup, secrets
+from skylag.llm import chat, decontaminate, exact_dedup, packing, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16).withColumns(
+        {"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")}
+    )
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
@@ -63,6 +71,134 @@ FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
 
+def vocabulary() -> str:
+    """The public vocabulary that packing uses; each task opens the file by this path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
 @query
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op9_chat_formatting"] = """
+WITH turns AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, role, coalesce(text, '') AS text FROM conversations
+               WHERE conv_id IS NOT NULL),
+people AS (SELECT DISTINCT conv_id, role AS perspective FROM turns WHERE role <> 'system'),
+shown AS (
+  SELECT conv_id, perspective, turn, coalesce(role, 'unknown') AS speaker, coalesce(role = perspective, false) AS own,
+         '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = perspective THEN 'assistant'
+           ELSE 'user name=' || replace(coalesce(role, 'unknown'), '<|', '< |') END || chr(10) AS header,
+         replace(text, '<|', '< |') AS body, role, sha256(coalesce(role, 'unknown') || ':' || text) AS key
+  FROM turns JOIN people USING (conv_id)),
+placed AS (
+  SELECT *, header || body || '<|im_end|>' || chr(10) AS rendered,
+         sum(length(header || body) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY turn, role NULLS FIRST, key) AS stop
+  FROM shown)
+SELECT conv_id, perspective, turn, speaker, rendered, CAST(stop - length(rendered) AS BIGINT) AS start, CAST(stop AS BIGINT) AS "end",
+       CAST(CASE WHEN own THEN stop - length(rendered) + length(header) END AS BIGINT) AS mask_start,
+       CAST(CASE WHEN own THEN stop - 1 END AS BIGINT) AS mask_end
+FROM placed
+"""
+
+
+def archive(pages: DataFrame) -> DataFrame:
+    """Records of an archive made from pages: each page fetched once, and asked for again later.
+
+    The later request names the page by another spelling of its URL and is answered "not modified",
+    with a validator that fits, one that does not, only a date, or none.
+    """
+    tag = F.concat(F.lit('"'), F.md5("html"), F.lit('"'))
+    seen = F.concat(F.lit("day "), F.col("page_id") % 7)
+    kind = F.col("page_id") % 5
+    first = pages.select(
+        (2 * F.col("page_id")).alias("record_id"),
+        "url",
+        (10 * F.col("page_id")).alias("ts"),
+        F.lit("response").alias("kind"),
+        F.when(F.col("page_id") % 11 == 0, 206).otherwise(200).alias("status"),
+        F.create_map(
+            F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag,
+            F.lit("Last-Modified"), seen, F.lit("Cache-Control"), F.lit("max-age=60"),
+        ).alias("headers"),
+        F.md5("html").alias("digest"),
+    )
+    spelling = (
+        F.when(F.col("page_id") % 4 == 0, F.col("url"))
+        .when(F.col("page_id") % 4 == 1, F.regexp_replace("url", "^https?://", "HTTP://WWW."))
+        .when(F.col("page_id") % 4 == 2, F.concat("url", F.lit("#again")))
+        .otherwise(F.concat(F.rtrim("url", F.lit("/")), F.lit("/")))
+    )
+    answer = F.map_filter(
+        F.create_map(
+            F.lit("etag"), F.when(kind < 2, F.concat(F.lit("W/"), tag)).when(kind == 2, F.concat(F.lit('"'), F.md5("url"), F.lit('"'))),
+            F.lit("Last-Modified"), F.when(kind == 3, seen),
+            F.lit("Date"), F.concat(F.lit("day "), F.col("page_id")),
+            F.lit("Cache-Control"), F.lit("max-age=120"), F.lit("Set-Cookie"), F.lit("id=1"),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    later = pages.select(
+        (2 * F.col("page_id") + 1).alias("record_id"),
+        spelling.alias("url"),
+        (10 * F.col("page_id") + F.when(F.col("page_id") % 7 == 0, 0).otherwise(5)).alias("ts"),
+        F.lit("revisit").alias("kind"),
+        F.lit(304).alias("status"),
+        answer.alias("headers"),
+        F.lit(None).cast("string").alias("digest"),
+    )
+    return first.unionByName(later)
+
+
+@query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    resolved = warc.resolve(archive(table(spark, sf_dir, "pages")))
+    return resolved.withColumn("headers", warc.header_text(F.col("headers")))
+
+
+_CANONICAL = """
+  regexp_replace(regexp_replace(lower(regexp_extract(plain, '^[^/?]*', 0)), ':(80|443)$', ''), '^www[.]', '')
+  || regexp_replace(regexp_extract(plain, '^[^/?]*([^?]*)', 1), '/+$', '')
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(plain, '[?](.*)$', 1), '&'),
+       lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))), '&'), ''), '')
+"""
+ORACLES["op10_warc_revisits"] = f"""
+WITH spelled AS (
+  SELECT *, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN regexp_replace(url, '^https?://', 'HTTP://WWW.')
+              WHEN 2 THEN url || '#again' ELSE rtrim(url, '/') || '/' END AS asked FROM pages),
+records AS (
+  SELECT page_id, 2 * page_id AS record_id, url, 10 * page_id AS ts, false AS revisit, html FROM spelled WHERE page_id % 11 <> 0
+  UNION ALL
+  SELECT page_id, 2 * page_id + 1, asked, 10 * page_id + CASE WHEN page_id % 7 = 0 THEN 0 ELSE 5 END, true, url AS html FROM spelled),
+plain AS (SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain FROM records),
+named AS (SELECT *, {_CANONICAL} AS canonical_url FROM plain),
+pages_of AS (SELECT page_id, html AS page_html FROM pages),
+revisits AS (SELECT n.*, md5(page_html) AS own, md5(html) AS other FROM named n JOIN pages_of USING (page_id) WHERE revisit),
+full_pages AS (SELECT canonical_url, ts AS refers_ts, max(record_id) AS refers_to, arg_max(md5(html), record_id) AS digest,
+                      arg_max(page_id % 7, record_id) AS day FROM named WHERE NOT revisit GROUP BY ALL),
+met AS (SELECT r.*, refers_ts, refers_to, digest, day FROM revisits r ASOF LEFT JOIN full_pages f
+        ON r.canonical_url = f.canonical_url AND r.ts > f.refers_ts),
+judged AS (SELECT *, CASE WHEN refers_to IS NULL THEN 'no earlier response' WHEN page_id % 5 = 4 THEN 'unchecked'
+                          WHEN page_id % 5 < 2 AND own = digest THEN 'resolved' WHEN page_id % 5 = 2 AND other = digest THEN 'resolved'
+                          WHEN page_id % 5 = 3 AND page_id % 7 = day THEN 'resolved' ELSE 'validator mismatch' END AS outcome FROM met)
+SELECT record_id, url, canonical_url, ts, refers_to, refers_ts, outcome,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN digest END AS digest,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN
+         'cache-control: max-age=120' || chr(10) || 'content-type: text/html' || chr(10) || 'date: day ' || page_id || chr(10)
+         || 'etag: ' || CASE WHEN page_id % 5 < 2 THEN 'W/' ELSE '' END || '"'
+         || CASE WHEN page_id % 5 < 2 THEN own WHEN page_id % 5 = 2 THEN other ELSE digest END || '"' || chr(10)
+         || 'last-modified: day ' || CASE WHEN page_id % 5 = 3 THEN page_id % 7 ELSE day END END AS headers
+FROM judged
+"""
