@@ -28,13 +28,19 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
+    @staticmethod
+    def _table(base: int, size: int) -> np.ndarray:
+        factors = np.full(size, base, np.uint64)
+        factors[0] = 1
+        return np.cumprod(factors)
+
     def __init__(self):
         self.up = self.down = np.empty(0, np.uint64)
 
     def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * RUN_BYTES)
-            self.up, self.down = (np.cumprod(np.concatenate([[1], np.full(size - 1, b)]).astype(np.uint64)) for b in (_BASE, _INVERSE))
+            self.up, self.down = (self._table(b, size) for b in (_BASE, _INVERSE))
         return self.up, self.down
 
 
@@ -111,7 +117,7 @@ def shingles(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np
             extra = []
             for at, k in zip(first[few], size[few], strict=True):
                 part = (h[at : at + k] * (factor[:k] | np.uint64(1))).sum(dtype=np.uint64)
-                extra.append(part + np.uint64(k) * np.uint64(0xA0761D6478BD642F))
+                extra.append((int(part) + int(k) * 0xA0761D6478BD642F) % (1 << 64))
             s = np.concatenate([s, mix(np.array(extra, np.uint64))])
             r = np.concatenate([r, row[first[few]]])
             order = np.argsort(r, kind="stable")
