@@ -76,7 +76,7 @@ def _shapes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     word = _KINDS[data[starts]] == 1
     shape = np.where(word, hashing.mix((case * 2 + again).astype(np.uint64)), h)
     touches = np.zeros(len(h), np.uint64)
-    touches[1:] = starts[1:] == ends[:-1]
+    touches[1:] = (starts[1:] == ends[:-1]) & (row[1:] == row[:-1])
     return hashing.mix(shape * np.uint64(2) + touches), row
 
 

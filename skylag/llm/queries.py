@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylag.llm import chat, decontaminate, exact_dedup, jaccard_join, packing, quality, secrets, sharding, warc
+from skylag.llm import chat, decontaminate, exact_dedup, jaccard_join, licenses, packing, quality, secrets, sharding, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -115,6 +115,24 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def as_files(documents: DataFrame) -> DataFrame:
+    """Documents as files: two to four folders deep by source, language and runs of ids."""
+    number = F.col("doc_id")
+    thousand, hundred = (F.floor(number / k).cast("string") for k in (1000, 100))
+    below = (
+        F.when(number % 3 == 0, number.cast("string"))
+        .when(number % 3 == 1, F.concat_ws("/", hundred, number.cast("string")))
+        .otherwise(F.concat_ws("/", thousand, hundred, number.cast("string")))
+    )
+    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.coalesce(below, F.lit("_")))
+    return documents.select("doc_id", path.alias("path"), "text")
+
+
+@query
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(as_files(table(spark, sf_dir, "documents")))
+
+
 @query
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
