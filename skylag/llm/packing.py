@@ -20,6 +20,9 @@ itself; further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -36,12 +39,12 @@ TOKENS = 2048
 DOCUMENTS = 2048
 #: Squared lengths in a sequence; TOKENS ** 2 is what one whole piece needs.
 COST = TOKENS * TOKENS
-END_ID = 0
+CLOSING = struct.pack("<I", 0)
 GROUP = 10_000
 #: How fast a capacity that does not bind loses weight.
 SCARCITY = 8
-#: Words whose ids a task remembers.
-CACHE = 300_000
+#: Words, and parts of words, whose ids a worker remembers.
+CACHE = 1_000_000
 
 _PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -49,35 +52,79 @@ _PIECE = pa.schema(
 _PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenise(docs: DataFrame, vocabulary: str, tokens: int = TOKENS) -> DataFrame:
-    """One row per piece of a document. `vocabulary`: a tokenizer file that each task can open."""
+class _Words:
+    """Ids of words, remembered by a worker from one task to the next.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+    The tokenizer drops white space and no rule of it reaches across, so words stand alone. It lowers A-Z,
+    and it parts a letter from marks behind it (apostrophes excepted), so a word is looked up as
+    lower-case core and marks.
+    """
+
+    _made: dict[str, _Words] = {}
+    _PARTS = re.compile(rb"(.*[a-z])([^a-z0-9'\x00-\x20\x7f-\xff]+)", re.DOTALL)
+
+    @classmethod
+    def of(cls, vocabulary: str) -> _Words:
+        if vocabulary not in cls._made:
+            cls._made[vocabulary] = cls(vocabulary)
+        return cls._made[vocabulary]
 
+    def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(vocabulary)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        known: dict[bytes, bytes] = {}
-        closing = np.array([END_ID], "<u4").tobytes()
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a run of letters
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.whole: dict[bytes, bytes] = {}
+        self.part: dict[bytes, bytes] = {}
+
+    def ids(self, text: bytes) -> bytes:
+        """Ids of a text, four bytes each, with the closing id."""
+        for known in (self.whole, self.part):
+            if len(known) > CACHE:
+                known.clear()
+        words = text.split()  # ASCII white space
+        found = list(map(self.whole.get, words))
+        if None in found:
+            self._learn({w for w, f in zip(words, found, strict=True) if f is None})
+            found = map(self.whole.__getitem__, words)
+        return b"".join(found) + CLOSING
+
+    def _learn(self, words: set[bytes]) -> None:
+        split = {}
+        for word in words:
+            low = word.lower()
+            match = self._PARTS.fullmatch(low)
+            split[word] = match.groups() if match else (low, b"")
+        new = [p for p in {p for pair in split.values() for p in pair} if p not in self.part]
+        part = self.part
+        plain, other = [], []
+        for p in new:
+            (plain if p.isalpha() else other).append(p)  # A-Z and a-z only: one run of letters
+        ids = np.array(self.tokenizer.encode(b" ".join(plain).decode(), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
+        raw, start = ids.tobytes(), 0
+        for p, stop in zip(plain, stops.tolist(), strict=True):
+            part[p] = raw[4 * start : 4 * stop]
+            start = stop
+        for at in range(0, len(other), 5000):
+            chunk = other[at : at + 5000]
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in chunk], add_special_tokens=False)
+            part.update((p, struct.pack(f"<{len(i)}I", *i)) for p, i in zip(chunk, (e.ids for e in found), strict=True))
+        self.whole.update((word, part[core] + part[marks]) for word, (core, marks) in split.items())
 
-        def learn(words: list[bytes]) -> None:
-            # The tokenizer drops white space and no rule reaches across it, so words stand alone.
-            for at in range(0, len(words), 5000):
-                part = words[at : at + 5000]
-                found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
 
+def tokenise(docs: DataFrame, vocabulary: str, tokens: int = TOKENS) -> DataFrame:
+    """One row per piece of a document. `vocabulary`: a tokenizer file that each task can open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words.of(vocabulary)
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                if len(known) > CACHE:
-                    known.clear()
-                words = (text.as_py() or b"").split()  # ASCII white space
-                learn(list({w for w in words if w not in known}))
-                ids = b"".join(map(known.__getitem__, words)) + closing
+                ids = words.ids(text.as_py() or b"")
                 for piece, start in enumerate(range(0, len(ids) // 4, tokens)):
                     part = ids[4 * start : 4 * (start + tokens)]
                     out.append((doc_id.as_py(), piece, start, len(part) // 4, zlib.crc32(part)))
