@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from skylag.sources.scratch import materialize
 
 _SLICE = "_slice"
-TOP_ROWS = 100_000
 
 
 def cumulative_counts(
@@ -62,7 +61,8 @@ def cumulative_counts(
     inside = (
         Window.partitionBy(*keys, _SLICE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return sliced.join(offsets, [*keys, _SLICE]).select(
+    # Offsets are few: they move to the slices, never the other way round.
+    return sliced.join(offsets.hint("shuffle_hash"), [*keys, _SLICE]).select(
         *keys,
         value,
         *measures,
@@ -72,28 +72,31 @@ def cumulative_counts(
 
 
 def page(df: DataFrame, order: Sequence[str], offset: int, limit: int) -> DataFrame:
-    """Rows offset .. offset+limit-1 in a stated order.
+    """Rows offset .. offset+limit-1 in a total order: `order`, then row hash, then all columns.
 
-    A page near the start is a top-k. A deep one would drag all rows before it through
-    one task, so rows are numbered by slice instead and only the slices that overlap
-    the page are looked at.
+    Pages of any size and offset fit together without gaps or repeats, also where order keys
+    tie. Only keys are counted and summed; rows are read where their key lies on the page. Row
+    hash bins split a key that many rows share. Columns must be orderable.
     """
-    if offset + limit <= TOP_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    # The row hash lets rows that share an order key spread over slices.
-    keys = [F.col(c) for c in order] + [F.xxhash64(*df.columns)]
-    sliced = materialize(df.repartitionByRange(*keys).withColumn(_SLICE, F.spark_partition_id()), "pages")
-    earlier = Window.orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per slice.
-    starts = sliced.groupBy(_SLICE).agg(F.count(F.lit(1)).alias("_n")).select(
-        _SLICE, "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start")
-    )
-    wanted = starts.where((F.col("_start") < offset + limit) & (F.col("_start") + F.col("_n") > offset))
-    number = F.row_number().over(Window.partitionBy(_SLICE).orderBy(*keys)) + F.col("_start")
+    row_hash = F.xxhash64(*df.columns)
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(order)], F.shiftright(row_hash, 48).alias("bin"))
+    counts = df.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    end = offset + limit
+    overlap = (F.col("before_n") < end) & (F.col("before_n") + F.col("in_n") > offset)
+    running = cumulative_counts(counts, [], "_key", ["n"], slices=overlap)
+    first = F.col("cum_n") - F.col("n")
+    on_page = running.where((F.col("cum_n") > offset) & (first < end))
+    edge = on_page.agg(F.min("_key").alias("low"), F.max("_key").alias("high"), F.min(first).alias("start"))
+    start = edge.first()["start"]
+    if start is None:
+        return df.limit(0)
+    rest = [F.col(c) for c in df.columns if c not in order]
     return (
-        sliced.join(wanted, _SLICE)
-        .withColumn("_number", number)
-        .where((F.col("_number") > offset) & (F.col("_number") <= offset + limit))
+        df.withColumn("_key", key)
+        .join(F.broadcast(edge.drop("start")), (F.col("_key") >= F.col("low")) & (F.col("_key") <= F.col("high")))  # one row
+        .orderBy(*order, row_hash, *rest)
+        .offset(offset - start)
+        .limit(limit)
         .select(*df.columns)
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -666,6 +667,25 @@ def drift_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.drift_halves(views.flights(spark, sf_dir), order)
 
 
+@query
+def rejected_csv_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the lines of a CSV file, as it is written."""
+    path = scratch_path(spark, "rejected") + ".csv"
+    files.export(views.text_flights(spark, sf_dir), path, "csv")
+    return validate.error_summary(files.read_flights(spark, path, keep_text=True))
+
+
+@query
+def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested routes by what is wrong with them; NULL counts the good ones."""
+    asked = views.raw_flights(spark, sf_dir).select(
+        "origin", F.when(F.col("flight_id").isNotNull(), F.col("destination")).alias("destination")
+    )
+    good, bad = validate.validate_routes(asked)
+    both = good.withColumn("error", F.lit(None).cast("string")).unionByName(bad)
+    return both.groupBy("error").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- paging, lineage and streams ------------------------------------------------------
 
 
@@ -675,6 +695,23 @@ def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cumulative.page(flights, ["flight_id", "origin", "destination"], offset=1000, limit=500)
 
 
+@query
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last page but one hundred rows."""
+    flights = views.flights(spark, sf_dir).select("flight_id", "origin", "destination")
+    return cumulative.page(flights, ["origin", "flight_id"], offset=flights.count() - 600, limit=500)
+
+
+@query
+def page_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All flights, walked in pages of a fifth by an order key of few values."""
+    flights = views.flights(spark, sf_dir).select("flight_id", "is_holiday")
+    size = -(-flights.count() // 5)
+    pages = [cumulative.page(flights, ["is_holiday"], i * size, size).withColumn("page", F.lit(i)) for i in range(5)]
+    walked = reduce(DataFrame.unionAll, pages)
+    return walked.groupBy("flight_id").agg(F.count(F.lit(1)).alias("n_pages"))
+
+
 @query
 def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace(views.lineage_edges(spark, sf_dir), "nation-3", depth=3)
@@ -682,13 +719,13 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored(spark: SparkSession, sf_dir: str) -> str:
     root = scratch_path(spark, "stream")
-    branches.write(views.flights(spark, sf_dir).repartition(16), root)
+    branches.write(views.flights(spark, sf_dir), root)
     return root
 
 
 @query
 def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=2)
     sink = scratch_path(spark, "chunks")
     records.write_all(stream.select("flight_id", "carrier_code", "distance_miles"), sink)
     return (
@@ -700,22 +737,34 @@ def stream_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_subscribe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
-    sink = scratch_path(spark, "commits")
+    """What a subscriber hears of a snapshot, an append, an update and a delete after its start."""
+    root, checkpoint, sink = (scratch_path(spark, name) for name in ("subscribed", "subscriber", "commits"))
+    flights = views.flights(spark, sf_dir).select(*_KEYED)
+    branches.write(flights, root)
 
-    def on_commit(rows: DataFrame, batch_id: int) -> None:
-        counted = rows.agg(F.lit(batch_id).alias("commit"), F.count(F.lit(1)).alias("n_rows"))
+    def on_commit(rows: DataFrame, commit: branches.Commit) -> None:
+        counted = rows.agg(
+            F.lit(commit.version).alias("version"), F.lit(commit.number).alias("number"),
+            F.count(F.lit(1)).alias("n_rows"), F.count("dep_delay_minutes").alias("n_delays"),
+        )
         counted.write.mode("append").parquet(sink)
 
-    records.subscribe(stream, on_commit).awaitTermination()
-    return spark.read.schema("commit int, n_rows bigint").parquet(sink)
+    records.subscribe(spark, root, on_commit, checkpoint)  # the baseline
+    changes = _changes(flights)
+    branches.write(flights.where("carrier_code = 'AA'"), root, mode="append")
+    records.subscribe(spark, root, on_commit, checkpoint)
+    branches.write(flights, root)
+    branches.write(changes, root, mode="update", key="flight_id")
+    branches.write(changes, root, mode="delete", key="flight_id")
+    records.subscribe(spark, root, on_commit, checkpoint)
+    return spark.read.schema("version int, number int, n_rows bigint, n_delays bigint").parquet(sink)
 
 
 @query
 def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flights validated, featurised and tiered as a stream, on the given scores."""
     fitted, _ = _fitted_features(spark, sf_dir)
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=2)
     tiered = scoring.tiers(scoring.prepare_stream(stream, fitted))
     sink = scratch_path(spark, "scored")
     records.write_all(
@@ -733,7 +782,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scoring path with the fitted ensemble, on a stream and as a batch."""
     fitted = _model(spark, sf_dir)
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=2)
     sink = scratch_path(spark, "predictions")
     scored = scoring.score_stream(stream.drop("delay_probability"), fitted.features, fitted.ensemble)
     records.write_all(scored, sink)
@@ -743,7 +792,7 @@ def stream_model_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stream_score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=8)
+    stream = records.stream_records(spark, _stored(spark, sf_dir), files_per_chunk=2)
     latest: dict[str, str] = {}
 
     def keep(counts: DataFrame, batch_id: int) -> None:

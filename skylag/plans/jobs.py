@@ -21,7 +21,7 @@ from skylag.functions.flight import departure_time
 from skylag.sources import branches
 from skylag.sources.files import read_flights
 from skylag.sources.scratch import materialize
-from skylag.sources.schema import LABEL, feature_columns, nan_to_null
+from skylag.sources.schema import LABEL, feature_columns, nan_to_null, typed
 
 
 @dataclass
@@ -117,7 +117,7 @@ def score(
     With `attributions` = k every flight also gets the map of its k strongest features.
     """
     valid, rejected = validate(nan_to_null(flights))
-    matrix = fitted.features.transform(fill_defaults(valid))
+    matrix = fitted.features.transform(fill_defaults(typed(valid)))
     out = ["flight_id", PROBABILITY, "delay_tier", "expected_delay_minutes", "carrier_risk_score"]
     if attributions:
         scored = with_tier(explain(fitted.ensemble, matrix, attributions, ("flight_id", "carrier_code")), cuts, method)
@@ -131,7 +131,7 @@ def score_to_log(
     spark: SparkSession, data_path: str, model_dir: str, log_root: str | None, rejected_path: str | None = None
 ) -> str | None:
     """Score a file with a stored model and append the result to the prediction log."""
-    scored, rejected = score(read_flights(spark, data_path), Fitted.load(spark, model_dir))
+    scored, rejected = score(read_flights(spark, data_path, keep_text=True), Fitted.load(spark, model_dir))
     if rejected_path is not None:
         rejected.write.mode("append").parquet(rejected_path)
     return branches.log_predictions(scored, log_root)

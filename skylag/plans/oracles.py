@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skylag.functions import fixed
+from skylag.operators import validate
 from skylag.plans.views import ctes
 
 
@@ -182,7 +183,7 @@ CHANGES = f"""{FLIGHTS}, fixed_rows AS (
 changes AS (SELECT * FROM fixed_rows UNION ALL
   SELECT flight_id || '-B', carrier_code, dep_delay_minutes FROM fixed_rows),
 kept AS (SELECT flight_id, carrier_code, dep_delay_minutes FROM flights
-         WHERE flight_id NOT IN (SELECT flight_id FROM changes))"""
+         WHERE NOT EXISTS (SELECT 1 FROM changes WHERE changes.flight_id = flights.flight_id))"""
 
 RANKED = f"""{FLIGHTS}, s AS (
   SELECT delay_probability AS score, sum({LATE}) AS pos, sum(1 - {LATE}) AS neg FROM flights GROUP BY 1),
@@ -472,11 +473,35 @@ ORACLES: dict[str, str] = {
     "dataset_drift": f"""WITH {KS} SELECT round(avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share_drifted,
         avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.0 END) >= 0.2 AS dataset_drift FROM ks""",
     "drift_halves": f"WITH {HALVES} {KS_SELECT}",
+    "rejected_csv_flights": f"""WITH {ctes("flights", "text_flights")}, counted AS (
+        SELECT unnest([
+          struct_pack(field := 'carrier_code', message := '{validate.MISSING}', n := count(*) FILTER (WHERE carrier_code IS NULL)),
+          struct_pack(field := 'distance_miles', message := '{validate.BAD_NUMBER}', n := count(*) FILTER (WHERE distance_miles = 'abc')),
+          struct_pack(field := 'distance_miles', message := '{validate.SPECIAL}', n := count(*) FILTER (WHERE distance_miles IN ('Infinity', 'nan'))),
+          struct_pack(field := 'departure_hour', message := '{validate.BAD_INTEGER}', n := count(*) FILTER (WHERE departure_hour = 'xx')),
+          struct_pack(field := 'departure_hour', message := 'departure_hour must be 0-23.', n := count(*) FILTER (WHERE departure_hour IN ('24', '25'))),
+          struct_pack(field := 'is_holiday', message := '{validate.BAD_BOOLEAN}', n := count(*) FILTER (WHERE is_holiday = 'maybe'))
+        ], recursive := true) FROM text_flights) SELECT field, message, n FROM counted WHERE n > 0""",
+    "route_requests": f"""WITH {RAW}, asked AS (
+          SELECT origin, CASE WHEN flight_id IS NOT NULL THEN destination END AS destination FROM raw_flights)
+        SELECT error, count(*) AS n FROM (
+          SELECT CASE WHEN coalesce(origin, '') = '' OR coalesce(destination, '') = '' THEN '{validate.ROUTE_REQUIRED.replace("'", "''")}'
+                      WHEN length(origin) <> 3 OR length(destination) <> 3 THEN '{validate.ROUTE_LENGTH}' END AS error FROM asked)
+        GROUP BY 1""",
     # paging, lineage and streams
     "page_records": f"""WITH {FLIGHTS} SELECT flight_id, origin, destination FROM flights
         ORDER BY flight_id, origin, destination LIMIT 500 OFFSET 1000""",
+    "page_deep": f"""WITH {FLIGHTS}, numbered AS (
+          SELECT flight_id, origin, destination, row_number() OVER (ORDER BY origin, flight_id, destination) AS i, count(*) OVER () AS n
+          FROM flights) SELECT flight_id, origin, destination FROM numbered WHERE i > n - 600 AND i <= n - 100""",
+    "page_walk": f"WITH {FLIGHTS} SELECT flight_id, CAST(1 AS BIGINT) AS n_pages FROM flights",
     "lineage": LINEAGE,
     "stream_chunks": f"WITH {FLIGHTS} SELECT carrier_code, count(*) AS n, sum(distance_miles) AS miles FROM flights GROUP BY 1",
+    "stream_subscribe": f"""WITH {CHANGES}, appended AS (SELECT dep_delay_minutes FROM flights WHERE carrier_code = 'AA')
+        SELECT CAST(1 AS INT) AS version, CAST(1 AS INT) AS number, count(*) AS n_rows, count(dep_delay_minutes) AS n_delays FROM appended
+        UNION ALL SELECT 2, 0, count(*), count(dep_delay_minutes) FROM flights
+        UNION ALL SELECT 3, 0, count(*), count(dep_delay_minutes) FROM (SELECT * FROM kept UNION ALL SELECT * FROM changes)
+        UNION ALL SELECT 4, 0, count(*), count(dep_delay_minutes) FROM kept""",
     "stream_score": f"""WITH {FEATURES} SELECT flight_id, {_tier("delay_probability", fixed.SERVICE_TIER_CUTS)} AS delay_tier,
         CAST(departure_hour AS INT) AS departure_hour, hour_bucket, is_holiday, flight_direction,
         round(carrier_delay_rate, 6) AS carrier_delay_rate, is_regional, round(prior_delay_log, 6) AS prior_delay_log,

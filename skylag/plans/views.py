@@ -55,9 +55,20 @@ SELECT
 FROM {flights}
 """
 
+TEXT_FLIGHTS = """
+SELECT flight_id, carrier_code, origin, destination, scheduled_departure,
+  CASE WHEN cast(distance_miles AS bigint) % 17 = 0 THEN 'abc' WHEN cast(distance_miles AS bigint) % 19 = 0 THEN 'Infinity'
+       WHEN cast(distance_miles AS bigint) % 23 = 0 THEN 'nan' ELSE cast(distance_miles AS string) END AS distance_miles,
+  CASE WHEN cast(distance_miles AS bigint) % 13 = 0 THEN 'xx'
+       ELSE cast(cast(distance_miles AS bigint) % 26 AS string) END AS departure_hour,
+  CASE WHEN cast(distance_miles AS bigint) % 29 = 0 THEN 'maybe' WHEN is_holiday THEN 'true' ELSE 'false' END AS is_holiday
+FROM {flights}
+"""
+
+# Flights without a readable departure (text sorts behind any year) belong to the reference side.
 FLIGHTS_REF = """
 SELECT flight_id, distance_miles, prior_leg_delay_minutes, delay_probability
-FROM {flights} WHERE scheduled_departure < '1998-06-01'
+FROM {flights} WHERE scheduled_departure < '1998-06-01' OR scheduled_departure >= '2100'
 """
 
 FLIGHTS_CUR = """
@@ -99,6 +110,10 @@ def raw_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(RAW_FLIGHTS, flights=flights(spark, sf_dir))
 
 
+def text_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(TEXT_FLIGHTS, flights=flights(spark, sf_dir))
+
+
 def flights_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FLIGHTS_REF, flights=flights(spark, sf_dir))
 
@@ -117,6 +132,7 @@ def ctes(*names: str) -> str:
     bodies = {
         "flights": FLIGHTS.format(lineitem="lineitem", orders="orders"),
         "raw_flights": RAW_FLIGHTS.format(flights="flights"),
+        "text_flights": TEXT_FLIGHTS.format(flights="flights"),
         "flights_ref": FLIGHTS_REF.format(flights="flights"),
         "flights_cur": FLIGHTS_CUR.format(flights="flights"),
         "lineage_edges": LINEAGE_EDGES.format(nation="nation", supplier="supplier", customer="customer"),

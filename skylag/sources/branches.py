@@ -1,14 +1,16 @@
 """Versioned branches of a table, kept as Parquet folders.
 
-Layout: `root/branch=<name>/version=<n>/`. A version counts once Spark's committer
-has left `_SUCCESS` in it, so a failed write is never read, and a change never
-overwrites the files it reads from.
+Layout: `root/branch=<name>/version=<n>/commit=<m>/`. Commit 0 makes the version, appends
+are further commits of it. A commit counts once Spark's committer has left `_SUCCESS` in it, so
+neither a failed nor a running write is read, and a change never overwrites what it reads.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,39 +27,57 @@ def _glob(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in fs.globStatus(path) or []]
 
 
-def _versions(spark: SparkSession, root: str, branch: str) -> list[int]:
-    done = _glob(spark, f"{root}/branch={branch}/version=*/_SUCCESS")
-    return sorted(int(p.split("/version=")[1].split("/")[0]) for p in done)
+class Commit(NamedTuple):
+    version: int
+    number: int
+    path: str
 
 
-def _version_path(root: str, branch: str, version: int) -> str:
-    return f"{root}/branch={branch}/version={version}"
+def _numbered(path: str) -> Commit:
+    version, number = re.search(r"/version=(\d+)/commit=(\d+)", path).groups()
+    return Commit(int(version), int(number), path.removesuffix("/_SUCCESS"))
 
 
-def _next_version(spark: SparkSession, root: str, branch: str) -> int:
-    # Unfinished versions keep their number too, so leftovers are never written into.
-    started = _glob(spark, f"{root}/branch={branch}/version=*")
-    return 1 + max((int(p.split("/version=")[1]) for p in started), default=0)
+def commits(spark: SparkSession, root: str, branch: str = "master") -> list[Commit]:
+    """Finished commits of a branch, oldest first."""
+    found = sorted(map(_numbered, _glob(spark, f"{root}/branch={branch}/version=*/commit=*/_SUCCESS")))
+    made = {c.version for c in found if c.number == 0}
+    return [c for c in found if c.version in made]
+
+
+def _latest(spark: SparkSession, root: str, branch: str) -> list[Commit]:
+    found = commits(spark, root, branch)
+    return [c for c in found if c.version == found[-1].version]
+
+
+def _next_path(spark: SparkSession, root: str, branch: str, append_to: int | None = None) -> str:
+    # Unfinished versions and commits keep their number too, so leftovers are never written into.
+    base = f"{root}/branch={branch}"
+    if append_to is None:
+        started = _glob(spark, f"{base}/version=*")
+        return f"{base}/version={1 + max((int(p.split('/version=')[1]) for p in started), default=0)}/commit=0"
+    started = _glob(spark, f"{base}/version={append_to}/commit=*")
+    return f"{base}/version={append_to}/commit={1 + max(int(p.split('/commit=')[1]) for p in started)}"
 
 
 def list_branches(spark: SparkSession, root: str) -> list[str]:
     """Names of the branches that have a finished version; no data file is opened."""
-    done = _glob(spark, f"{root}/branch=*/version=*/_SUCCESS")
+    done = _glob(spark, f"{root}/branch=*/version=*/commit=0/_SUCCESS")
     return sorted({p.split("/branch=")[1].split("/")[0] for p in done})
 
 
-def branch_path(spark: SparkSession, root: str, branch: str = "master") -> str:
-    """Folder of the latest finished version."""
-    versions = _versions(spark, root, branch)
-    if not versions:
+def branch_paths(spark: SparkSession, root: str, branch: str = "master") -> list[str]:
+    """Folders of the latest version's finished commits."""
+    found = _latest(spark, root, branch)
+    if not found:
         raise FileNotFoundError(f"no data in branch {branch!r} of {root}")
-    return _version_path(root, branch, versions[-1])
+    return [c.path for c in found]
 
 
 def read_branch(
     spark: SparkSession, root: str, branch: str = "master", limit: int | None = None
 ) -> DataFrame:
-    df = spark.read.parquet(branch_path(spark, root, branch))
+    df = spark.read.parquet(*branch_paths(spark, root, branch))
     return df if limit is None else df.limit(limit)
 
 
@@ -70,17 +90,19 @@ def write(
 ) -> str:
     """Write `df` into a branch and return the folder it lies in.
 
-    snapshot: a new version holding only `df`; append: more files in the latest
+    snapshot: a new version holding only `df`; append: one more commit of the latest
     version; update: rows of `df` replace those with the same key and new keys are
-    added; delete: rows whose key occurs in `df` go away.
+    added, so a key may occur once in `df`; delete: rows whose key occurs in `df` go away.
+    A commit that another writer finishes meanwhile makes update and delete fail
+    rather than drop it.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     spark = df.sparkSession
-    versions = _versions(spark, root, branch)
-    if mode == "append" and versions:
-        path = _version_path(root, branch, versions[-1])
-        df.write.mode("append").parquet(path)
+    seen = commits(spark, root, branch)
+    if mode == "append" and seen:
+        path = _next_path(spark, root, branch, append_to=seen[-1].version)
+        df.write.parquet(path)
         return path
     if mode in ("update", "delete"):
         if not key:
@@ -89,9 +111,14 @@ def write(
         current = read_branch(spark, root, branch)
         # Read twice, and their size decides between broadcast and shuffle.
         df = materialize(df, "changes")
+        if mode == "update" and not df.groupBy(*keys).count().where("count > 1").isEmpty():
+            raise ValueError(f"a key {keys} occurs more than once among the changes")
         kept = current.join(df.select(*keys), keys, "left_anti")
         df = kept.unionByName(df, allowMissingColumns=True) if mode == "update" else kept
-    path = _version_path(root, branch, _next_version(spark, root, branch))
+        df = materialize(df, "changed")
+        if commits(spark, root, branch) != seen:
+            raise RuntimeError(f"branch {branch!r} changed while it was rewritten")
+    path = _next_path(spark, root, branch)
     df.write.parquet(path)
     return path
 

@@ -46,8 +46,9 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def typed(df: DataFrame) -> DataFrame:
-    """Cast the known columns of a text table to their types; bad text becomes NULL."""
-    known = {f.name: f.dataType for f in FLIGHT_SCHEMA}
+    """Cast the known columns that are still text to their types; bad text becomes NULL."""
+    text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    known = {f.name: f.dataType for f in FLIGHT_SCHEMA if f.name in text}
     return df.select(*[F.col(c).try_cast(known[c]).alias(c) if c in known else F.col(c) for c in df.columns])
 
 

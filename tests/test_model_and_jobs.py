@@ -117,5 +117,5 @@ def test_retrain_publishes_model_and_metrics(spark, flights, tmp_path):
     assert result.risk.count() == 11 and result.drift.count() >= 2
     log = branches.read_branch(spark, f"{models}/metrics")
     assert {r["version"] for r in log.collect()} == {result.version}
-    logged = jobs.score_to_log(spark, branches.branch_path(spark, data), f"{models}/version={result.version}", str(tmp_path / "log"))
+    logged = jobs.score_to_log(spark, branches.branch_paths(spark, data)[0], f"{models}/version={result.version}", str(tmp_path / "log"))
     assert spark.read.parquet(logged).count() > 4_000

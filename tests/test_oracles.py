@@ -17,7 +17,6 @@ ROWS_ONLY = {
     "score_batch",
     "evaluate",
     "occlusion_attributions",
-    "stream_subscribe",
 }
 
 

@@ -107,33 +107,60 @@ def test_pages_stop_at_the_end(spark):
     assert page(df, ["id"], 4, 2).isEmpty()
 
 
-def test_deep_pages_with_one_hot_order_key(spark, monkeypatch):
-    monkeypatch.setattr("skylag.operators.cumulative.TOP_ROWS", 10)
-    df = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id")
+def test_pages_of_tied_keys_fit_together(spark):
+    df = spark.range(3_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 7 = 0 THEN NULL ELSE id % 2 END AS k", "id")
     pages = [page(df, ["k"], start, 700).collect() for start in range(0, 3_500, 700)]
     assert [len(p) for p in pages] == [700, 700, 700, 700, 200]
     rows = [r for p in pages for r in p]
     assert len({r["id"] for r in rows}) == 3_000
-    ordered = sorted(r["k"] for r in df.collect())
-    for start, part in zip(range(0, 3_500, 700), pages, strict=True):
-        assert sorted(r["k"] for r in part) == ordered[start : start + 700]
+    rank = lambda k: -1 if k is None else k
+    assert [rank(r["k"]) for r in rows] == sorted(rank(r["k"]) for r in df.collect())
+    double = df.unionAll(df)
+    assert len([r for start in range(0, 6_000, 1_500) for r in page(double, ["k"], start, 1_500).collect()]) == 6_000
 
 
-def test_chunks_and_new_commits(spark, root, tmp_path):
+def test_chunks_are_files_and_resume_where_they_stopped(spark, root, tmp_path):
     branches.write(spark.range(30).repartition(3), root)
+    target = str(tmp_path / "copy")
     stream = records.stream_records(spark, root, files_per_chunk=1)
-    seen = []
-    checkpoint = str(tmp_path / "checkpoint")
-    note = lambda rows, i: seen.append((i, rows.count()))
-    records.subscribe(stream, note, checkpoint, skip_initial=False).awaitTermination()
-    assert [i for i, _ in seen] == [0, 1, 2] and sum(n for _, n in seen) == 30
+    assert len([p for p in records.write_all(stream, target).recentProgress if p["numInputRows"]]) == 3
     branches.write(spark.range(5).coalesce(1), root, mode="append")
-    records.subscribe(stream, note, checkpoint, skip_initial=False).awaitTermination()
-    assert seen[3:] == [(3, 5)]
-    fresh = []
-    later = records.stream_records(spark, root, files_per_chunk=1)
-    records.subscribe(later, lambda rows, i: fresh.append(i)).awaitTermination()
-    assert fresh == [1, 2, 3]  # the first commit is only the baseline
+    records.write_all(stream, target)
+    records.write_all(stream, target)
+    assert spark.read.parquet(target).count() == 35
+
+
+def test_each_commit_is_heard_once(spark, root, tmp_path):
+    seen, checkpoint = [], str(tmp_path / "subscriber")
+    note = lambda rows, c: seen.append((c.version, c.number, rows.count()))
+    branches.write(spark.range(30).repartition(16), root)
+    assert records.subscribe(spark, root, note, checkpoint) == 0  # the baseline
+    branches.write(spark.range(4).repartition(4), root)
+    branches.write(spark.range(4, 6), root, mode="append")
+    branches.write(spark.range(2), root, mode="delete", key="id")
+    branches.write(spark.range(5, 8), root, mode="update", key="id")
+    assert records.subscribe(spark, root, note, checkpoint, max_polls=2) == 4
+    assert seen == [(2, 0, 4), (2, 1, 2), (3, 0, 4), (4, 0, 6)]
+    assert records.subscribe(spark, root, note, checkpoint) == 0
+    fresh: list = []
+    records.subscribe(spark, root, lambda rows, c: fresh.append(c.version), str(tmp_path / "other"), skip_initial=False)
+    assert fresh == [1, 2, 2, 3, 4]
+
+
+def test_update_refuses_repeated_keys(spark, root):
+    branches.write(_rows(spark, ("a", 1.0)), root)
+    with pytest.raises(ValueError, match="more than once"):
+        branches.write(_rows(spark, ("a", 2.0), ("a", 3.0)), root, mode="update", key="flight_id")
+
+
+def test_unfinished_appends_are_not_read(spark, root):
+    path = branches.write(_rows(spark, ("a", 1.0)), root)
+    broken = _rows(spark, ("b", 2.0)).withColumn("minutes", F.raise_error(F.lit("stop")).cast("double"))
+    with pytest.raises(Exception, match="stop"):
+        branches.write(broken, root, mode="append")
+    assert path.endswith("version=1/commit=0") and _content(branches.read_branch(spark, root)) == [("a", 1.0)]
+    branches.write(_rows(spark, ("c", 3.0)), root, mode="append")
+    assert _content(branches.read_branch(spark, root)) == [("a", 1.0), ("c", 3.0)]
 
 
 def test_running_tiers(spark, root):
