@@ -14,6 +14,7 @@ from skylag.sources.session import tune
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="skylag", description=__doc__)
+    parser.add_argument("--scratch", help="shared folder for intermediate tables; needed on a cluster")
     commands = parser.add_subparsers(dest="command", required=True)
     train = commands.add_parser("train", help="fit and save a model")
     train.add_argument("--data-path", required=True)
@@ -30,7 +31,10 @@ def main(argv: list[str] | None = None) -> None:
     drift.add_argument("--monitor-dir", required=True)
     args = parser.parse_args(argv)
 
-    spark = tune(SparkSession.builder.appName("skylag").getOrCreate())
+    builder = SparkSession.builder.appName("skylag")
+    if args.scratch:
+        builder = builder.config("spark.checkpoint.dir", args.scratch)
+    spark = tune(builder.getOrCreate())
     if args.command == "train":
         _, metrics = jobs.train_file(
             spark,

@@ -45,12 +45,14 @@ class BoostedParams:
     step_size: float = 0.05
     subsample: float = 0.8
     feature_share: float = 0.8
+    max_bins: int = 256
 
 
 @dataclass
 class ForestParams:
     num_trees: int = 250
     max_depth: int = 12
+    max_bins: int = 256
 
 
 @dataclass
@@ -61,6 +63,11 @@ class EnsembleParams:
     positive_weight: float = 3.0
     seed: int = 42
 
+    @classmethod
+    def of_rounds(cls, rounds: int, trees: int) -> EnsembleParams:
+        """Trees of the full depth and bins, but so many of them."""
+        return cls(BoostedParams(max_iter=rounds), BoostedParams(max_iter=rounds), ForestParams(num_trees=trees))
+
     @classmethod
     def small(cls) -> EnsembleParams:
         """A quick ensemble for trials."""
@@ -105,7 +112,7 @@ def _named(learner, name: str):
 def _boosted(p: BoostedParams, weight: str, seed: int) -> GBTClassifier:
     return GBTClassifier(
         featuresCol="features", labelCol="label", weightCol=weight,
-        maxIter=p.max_iter, maxDepth=p.max_depth, stepSize=p.step_size,
+        maxIter=p.max_iter, maxDepth=p.max_depth, maxBins=p.max_bins, stepSize=p.step_size,
         subsamplingRate=p.subsample, featureSubsetStrategy=str(p.feature_share), seed=seed,
     )
 
@@ -113,7 +120,7 @@ def _boosted(p: BoostedParams, weight: str, seed: int) -> GBTClassifier:
 def _forest(p: ForestParams, weight: str, seed: int) -> RandomForestClassifier:
     return RandomForestClassifier(
         featuresCol="features", labelCol="label", weightCol=weight,
-        numTrees=p.num_trees, maxDepth=p.max_depth, seed=seed,
+        numTrees=p.num_trees, maxDepth=p.max_depth, maxBins=p.max_bins, seed=seed,
     )
 
 
@@ -150,6 +157,8 @@ class DelayEnsemble(Estimator):
             "training",
             partition_by="_fold",
         )
+        if not rows.where("label NOT IN (0, 1)").limit(1).isEmpty():
+            raise ValueError("training needs labels 0 and 1, found others")
         balanced = {r["label"]: r["weight"] for r in class_weights(rows, "label").collect()}  # two rows
         if set(balanced) != {0.0, 1.0}:
             raise ValueError(f"training needs labels 0 and 1, found {sorted(balanced)}")

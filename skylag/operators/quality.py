@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from skylag.sources.scratch import materialize
 
+SALTS = 16
+
 
 def missing(df: DataFrame, name: str) -> Column:
     """NULL, or NaN in a float column."""
@@ -36,19 +38,22 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     Whole rows are wide, so the first pass moves only a 64-bit digest and its count.
     Rows whose digest is unique cannot be duplicates; only the others are compared in
-    full, which makes the figure exact even when two different rows share a digest.
+    full, which makes the figure exact even when two different rows share a digest. A row
+    that fills much of the table is counted apart by scan partition, then summed.
     """
     columns = [F.col(f"`{c}`") for c in df.columns]
-    hashed = df.withColumn("_digest", F.xxhash64(*columns))
+    hashed = df.withColumns({"_digest": F.xxhash64(*columns), "_salt": F.spark_partition_id() % SALTS})
     repeated = materialize(
         hashed.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_digest"),
         "repeated-digests",
     )
-    groups = (
-        hashed.join(repeated, "_digest", "left_semi")
-        .groupBy("_digest", *columns)
+    salted = repeated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    parts = (
+        hashed.join(salted, ["_digest", "_salt"], "left_semi")
+        .groupBy("_digest", "_salt", *columns)
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    groups = parts.groupBy("_digest", *columns).agg(F.sum("_n").alias("_n"))
     return groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -498,14 +498,20 @@ def route_risk_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- model --------------------------------------------------------------------------
 
+#: The full recipe has 400 rounds and 250 trees.
+ROUNDS, TREES = 10, 20
 _MODELS: dict[tuple[str, str], jobs.Fitted] = {}
 
 
 def _model(spark: SparkSession, sf_dir: str) -> jobs.Fitted:
-    """A quick ensemble on all flights of one folder, fitted once per application."""
+    """The ensemble on all flights of one folder, fitted once per application.
+
+    Depth, bins and folds are those of the full recipe; the numbers of rounds and trees are
+    what a check of every query has time for.
+    """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key], _ = jobs.fit(views.flights(spark, sf_dir), model.EnsembleParams.small())
+        _MODELS[key], _ = jobs.fit(views.flights(spark, sf_dir), model.EnsembleParams.of_rounds(ROUNDS, TREES))
     return _MODELS[key]
 
 
@@ -546,9 +552,10 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
-    """How many rows there are, and how many of them the other table lacks."""
+    """How many rows there are, and how many of either table the other one lacks."""
+    unlike = one.exceptAll(other).unionAll(other.exceptAll(one))
     return one.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(
-        F.broadcast(one.exceptAll(other).agg(F.count(F.lit(1)).alias("n_different")))  # one row each
+        F.broadcast(unlike.agg(F.count(F.lit(1)).alias("n_different")))  # one row each
     )
 
 

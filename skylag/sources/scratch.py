@@ -12,11 +12,14 @@ _local_root: str | None = None
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a fresh local one where none is named."""
+    """The shared folder the session names; on one machine a fresh local one where none is named."""
     global _local_root
     shared = spark.conf.get(_SETTING, None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"set {_SETTING} to a folder that all executors share (master is {master})")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="run-")
     return _local_root
