@@ -551,6 +551,33 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored
 
 
+@query
+def score_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows, and those whose tier, minutes or probability do not fit each other."""
+    scored, rejected = jobs.score(views.raw_flights(spark, sf_dir), _model(spark, sf_dir))
+    p = F.col("delay_probability")
+    severe, moderate, minor = fixed.SERVICE_TIER_CUTS
+    tier = F.when(p >= severe, "SEVERE").when(p >= moderate, "MODERATE").when(p >= minor, "MINOR").otherwise("ON_TIME")
+    counted = scored.agg(
+        F.count(F.lit(1)).alias("n_scored"),
+        F.count_if(~p.between(0, 1) | p.isNull()).alias("n_outside"),
+        F.count_if(F.col("delay_tier") != tier).alias("n_wrong_tier"),
+        F.count_if(F.abs(F.col("expected_delay_minutes") - p * 120) > 0.051).alias("n_wrong_minutes"),
+    )
+    return counted.crossJoin(F.broadcast(rejected.agg(F.count(F.lit(1)).alias("n_rejected"))))  # one row each
+
+
+@query
+def score_file_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file scored by a stored model into the prediction log; bad lines go to their own folder."""
+    path, model_dir, log, bad = (scratch_path(spark, name) for name in ("file", "stored-model", "prediction-log", "rejected"))
+    files.export(views.text_flights(spark, sf_dir), f"{path}.csv", "csv")
+    _model(spark, sf_dir).save(model_dir)
+    jobs.score_to_log(spark, f"{path}.csv", model_dir, log, bad)
+    logged = branches.read_branch(spark, log).agg(F.count(F.lit(1)).alias("n_logged"), F.count("logged_at").alias("n_stamped"))
+    return logged.crossJoin(F.broadcast(spark.read.parquet(bad).agg(F.count(F.lit(1)).alias("n_rejected"))))  # one row each
+
+
 def _differences(one: DataFrame, other: DataFrame) -> DataFrame:
     """How many rows there are, and how many of either table the other one lacks."""
     unlike = one.exceptAll(other).unionAll(other.exceptAll(one))
@@ -663,6 +690,17 @@ def drift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def drift_first_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A monitor without a baseline keeps the batch as one and reports no drift."""
+    ref, _ = _pair(spark, sf_dir)
+    path = scratch_path(spark, "first-run")
+    tests, summary = drift.DriftMonitor(spark, path).run(ref)
+    kept = spark.read.parquet(f"{path}/baseline").where("feature = 'distance_miles'").agg(F.sum("n").alias("n_kept"))
+    none = tests.agg(F.count(F.lit(1)).alias("n_tests"))
+    return _joined_features(summary).crossJoin(F.broadcast(kept)).crossJoin(F.broadcast(none))  # one row each
+
+
 @query
 def dataset_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(drift.dataset_drift(drift.ks_drift(*_pair(spark, sf_dir))), "share_drifted")

@@ -470,6 +470,9 @@ ORACLES: dict[str, str] = {
     "missing_ratio": f"WITH {FLIGHTS}, shares AS ({NULL_SHARES}) SELECT {even("avg(share)", 4)} AS missing_ratio FROM shares",
     "drift_summary": DRIFT_SUMMARY,
     "drift_report": DRIFT_SUMMARY.replace("CAST(3 AS INT)", "CAST(3 AS BIGINT)"),
+    "drift_first_run": f"""WITH {PAIR} SELECT count(*) AS batch_size, CAST(0 AS INT) AS n_numeric_tested, CAST(0 AS BIGINT) AS n_drifted,
+        '' AS drifted_features, CAST(0 AS DOUBLE) AS score_shift, CAST(0 AS DOUBLE) AS missing_ratio, false AS drift_detected,
+        count(*) AS n_kept, CAST(0 AS BIGINT) AS n_tests FROM flights_ref""",
     "dataset_drift": f"""WITH {KS} SELECT round(avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.0 END), 6) AS share_drifted,
         avg(CASE WHEN p_value < 0.05 THEN 1.0 ELSE 0.0 END) >= 0.2 AS dataset_drift FROM ks""",
     "drift_halves": f"WITH {HALVES} {KS_SELECT}",
@@ -488,6 +491,14 @@ ORACLES: dict[str, str] = {
           SELECT CASE WHEN coalesce(origin, '') = '' OR coalesce(destination, '') = '' THEN '{validate.ROUTE_REQUIRED.replace("'", "''")}'
                       WHEN length(origin) <> 3 OR length(destination) <> 3 THEN '{validate.ROUTE_LENGTH}' END AS error FROM asked)
         GROUP BY 1""",
+    "score_consistency": f"""WITH {RAW}, judged AS (SELECT {N_ERRORS} AS n_errors FROM raw_flights)
+        SELECT count(*) FILTER (WHERE n_errors = 0) AS n_scored, CAST(0 AS BIGINT) AS n_outside, CAST(0 AS BIGINT) AS n_wrong_tier,
+        CAST(0 AS BIGINT) AS n_wrong_minutes, count(*) FILTER (WHERE n_errors > 0) AS n_rejected FROM judged""",
+    "score_file_log": f"""WITH {ctes("flights", "text_flights")}, judged AS (SELECT carrier_code IS NULL
+          OR coalesce(distance_miles IN ('abc', 'Infinity', 'nan') OR TRY_CAST(distance_miles AS DOUBLE) <= 0, false)
+          OR coalesce(departure_hour IN ('xx', '24', '25'), false) OR is_holiday = 'maybe' AS bad FROM text_flights)
+        SELECT count(*) FILTER (WHERE NOT bad) AS n_logged, count(*) FILTER (WHERE NOT bad) AS n_stamped,
+               count(*) FILTER (WHERE bad) AS n_rejected FROM judged""",
     # paging, lineage and streams
     "page_records": f"""WITH {FLIGHTS} SELECT flight_id, origin, destination FROM flights
         ORDER BY flight_id, origin, destination LIMIT 500 OFFSET 1000""",
