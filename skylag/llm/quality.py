@@ -33,9 +33,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skylag.llm import hashing
-from skylag.llm.keys import col, fresh
+from skylag.llm.keys import col
 from skylag.sources.scratch import materialize
 
 BUCKET_BITS = 16
@@ -228,8 +229,9 @@ def select_documents(docs: DataFrame, labels: DataFrame, good, k: int | None = N
     """The rows of `docs` among the k, with all their columns; scores are worked out anew, not joined."""
     chosen = Selection(docs, labels, good, k, temperature)
     ratio, threshold = chosen.ratio, chosen.threshold
-    (noise,) = fresh(docs, "_noise")
     text_at = docs.columns.index("text")
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # no dots or clashes on the way through Arrow
+    schema = T.StructType([T.StructField(c, f.dataType) for c, f in zip(plain, docs.schema, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,4 +239,5 @@ def select_documents(docs: DataFrame, labels: DataFrame, good, k: int | None = N
             keys = _keys(_scores(weight, batch.column(batch.num_columns - 1).to_numpy(), temperature))
             yield batch.filter(pa.array(keys >= threshold)).select(list(range(batch.num_columns - 1)))
 
-    return docs.withColumn(noise, _noise_column()).mapInArrow(run, docs.schema)
+    with_noise = docs.select("*", _noise_column()).toDF(*plain, "noise")
+    return with_noise.mapInArrow(run, schema).toDF(*docs.columns)
