@@ -2,7 +2,7 @@
 
 Features are standardised once. For each of three hash folds, two boosted-tree models
 and a forest are fitted on the other folds, their weighted vote is scored on the
-held-out fold, and an isotonic map turns votes into probabilities. A prediction is
+held-out fold, and an isotonic (or sigmoid) map turns votes into probabilities. A prediction is
 the mean of the three calibrated votes.
 """
 
@@ -18,6 +18,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
     GBTClassifier,
+    LogisticRegression,
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
@@ -62,6 +63,7 @@ class EnsembleParams:
     forest: ForestParams = field(default_factory=ForestParams)
     positive_weight: float = 3.0
     seed: int = 42
+    calibration: str = "isotonic"  # or "sigmoid"
 
     @classmethod
     def of_rounds(cls, rounds: int, trees: int) -> EnsembleParams:
@@ -139,6 +141,8 @@ class DelayEnsemble(Estimator):
         self.parallelism = parallelism
         self.features, self.label, self.id_column = list(features), label, id_column
         self.settings = settings or EnsembleParams()
+        if self.settings.calibration not in ("isotonic", "sigmoid"):
+            raise ValueError(f"unknown calibration {self.settings.calibration!r}")
 
     def _fit(self, df: DataFrame) -> DelayEnsembleModel:
         p = self.settings
@@ -200,12 +204,26 @@ class DelayEnsemble(Estimator):
             .groupBy(half_even(f"_vote_{k}", SCORE_DIGITS).alias("_vote"))
             .agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("n"))
         )
+        if p.calibration == "sigmoid":
+            return FoldModels(learners, sigmoid=_fit_sigmoid(points))
         isotonic = IsotonicRegression(
             featuresCol="_vote", labelCol="label", weightCol="n", predictionCol=f"_calibrated_{k}"
         ).fit(points)
         return FoldModels(learners, isotonic.setFeaturesCol(f"_vote_{k}"))
 
 
+def _fit_sigmoid(points: DataFrame) -> tuple[float, float]:
+    """Slope and intercept of the logistic map from votes to labels; a point is its late and its other rows."""
+    sides = F.array(
+        F.struct(F.lit(1.0).alias("label"), (F.col("n") * F.col("label")).alias("n")),
+        F.struct(F.lit(0.0).alias("label"), (F.col("n") * (1 - F.col("label"))).alias("n")),
+    )
+    rows = points.select("_vote", F.inline(sides)).where("n > 0")
+    vector = VectorAssembler(inputCols=["_vote"], outputCol="_features").transform(rows)
+    fitted = LogisticRegression(featuresCol="_features", labelCol="label", weightCol="n").fit(vector)
+    return float(fitted.coefficients[0]), float(fitted.intercept)
+
+
 def _vote(df: DataFrame, learners: list, k: int) -> DataFrame:
     for learner in learners:
         df = learner.transform(df)
@@ -233,7 +251,14 @@ def with_tier(
 @dataclass
 class FoldModels:
     learners: list
-    isotonic: IsotonicRegressionModel
+    isotonic: IsotonicRegressionModel | None = None
+    sigmoid: tuple[float, float] | None = None
+
+    def calibrate(self, df: DataFrame, k: int) -> DataFrame:
+        if self.isotonic is not None:
+            return self.isotonic.transform(df)
+        slope, intercept = self.sigmoid
+        return df.withColumn(f"_calibrated_{k}", 1 / (1 + F.exp(-(slope * F.col(f"_vote_{k}") + intercept))))
 
 
 class DelayEnsembleModel(Model):
@@ -243,7 +268,7 @@ class DelayEnsembleModel(Model):
 
     def _score(self, df: DataFrame) -> DataFrame:
         for k, fold in enumerate(self.folds):
-            df = fold.isotonic.transform(_vote(df, fold.learners, k))
+            df = fold.calibrate(_vote(df, fold.learners, k), k)
         calibrated = [F.col(f"_calibrated_{k}") for k in range(len(self.folds))]
         votes = [F.col(f"_vote_{k}") for k in range(len(self.folds))]
         mean = lambda cols: reduce(lambda a, b: a + b, cols) / len(cols)
@@ -278,9 +303,11 @@ class DelayEnsembleModel(Model):
         for k, fold in enumerate(self.folds):
             for name, model in zip("abc", fold.learners, strict=True):
                 model.write().overwrite().save(f"{path}/fold={k}/{name}")
-            fold.isotonic.write().overwrite().save(f"{path}/fold={k}/isotonic")
+            if fold.isotonic is not None:
+                fold.isotonic.write().overwrite().save(f"{path}/fold={k}/isotonic")
         spark = SparkSession.getActiveSession()
-        manifest = [(self.features, len(self.folds), json.dumps(asdict(self.settings)))]
+        settings = asdict(self.settings) | {"_sigmoid": [fold.sigmoid for fold in self.folds]}
+        manifest = [(self.features, len(self.folds), json.dumps(settings))]
         spark.createDataFrame(manifest, "features array<string>, folds int, settings string").coalesce(
             1
         ).write.mode("overwrite").json(f"{path}/manifest")
@@ -290,6 +317,7 @@ class DelayEnsembleModel(Model):
         schema = "features array<string>, folds int, settings string"
         row = spark.read.schema(schema).json(f"{path}/manifest").first()
         raw = json.loads(row["settings"])
+        sigmoid = raw.pop("_sigmoid", [None] * row["folds"])
         params = EnsembleParams(
             BoostedParams(**raw.pop("boosted_first")),
             BoostedParams(**raw.pop("boosted_second")),
@@ -300,7 +328,8 @@ class DelayEnsembleModel(Model):
         folds = [
             FoldModels(
                 [kind.load(f"{path}/fold={k}/{name}") for name, kind in kinds.items()],
-                IsotonicRegressionModel.load(f"{path}/fold={k}/isotonic"),
+                None if sigmoid[k] else IsotonicRegressionModel.load(f"{path}/fold={k}/isotonic"),
+                tuple(sigmoid[k]) if sigmoid[k] else None,
             )
             for k in range(row["folds"])
         ]

@@ -119,3 +119,23 @@ def test_retrain_publishes_model_and_metrics(spark, flights, tmp_path):
     assert {r["version"] for r in log.collect()} == {result.version}
     logged = jobs.score_to_log(spark, branches.branch_paths(spark, data)[0], f"{models}/version={result.version}", str(tmp_path / "log"))
     assert spark.read.parquet(logged).count() > 4_000
+
+
+def test_sigmoid_calibration_rises_with_the_vote_and_survives_storage(spark, flights, tmp_path):
+    params = model.EnsembleParams.small()
+    params.calibration = "sigmoid"
+    fitted, matrix = jobs.fit(flights, params)
+    scored = fitted.ensemble.transform(matrix).select("ensemble_vote", "delay_probability", "is_delayed")
+    figures = scored.selectExpr("corr(ensemble_vote, delay_probability) AS c", "avg(delay_probability) - avg(is_delayed) AS gap").first()
+    assert figures["c"] > 0.95 and abs(figures["gap"]) < 0.02
+    fitted.save(str(tmp_path / "model"))
+    again = jobs.Fitted.load(spark, str(tmp_path / "model"))
+    assert [f.sigmoid for f in again.ensemble.folds] == [f.sigmoid for f in fitted.ensemble.folds]
+    with pytest.raises(ValueError, match="calibration"):
+        model.DelayEnsemble(["x"], settings=model.EnsembleParams(calibration="none"))
+
+
+def test_other_labels_are_refused_before_they_are_collected(spark, flights):
+    odd = flights.limit(50).withColumn("is_delayed", F.col("distance_miles"))
+    with pytest.raises(ValueError, match="labels 0 and 1"):
+        model.DelayEnsemble(["distance_miles"]).fit(odd)
