@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from skylag.operators.drift import DriftMonitor
 from skylag.plans import jobs
 from skylag.sources.files import read_flights
+from skylag.sources.scratch import clear
 from skylag.sources.session import tune
 
 
@@ -35,21 +36,24 @@ def main(argv: list[str] | None = None) -> None:
     if args.scratch:
         builder = builder.config("spark.checkpoint.dir", args.scratch)
     spark = tune(builder.getOrCreate())
-    if args.command == "train":
-        _, metrics = jobs.train_file(
-            spark,
-            args.data_path,
-            args.model_dir,
-            validation_fraction=args.validation_fraction,
-            zero_if_unknown=args.zero_label,
-        )
-        metrics.show(truncate=False)
-    elif args.command == "score":
-        print(jobs.score_to_log(spark, args.data_path, args.model_dir, args.log_root, args.rejected_path))
-    else:
-        tests, summary = DriftMonitor(spark, args.monitor_dir).run(read_flights(spark, args.data_path))
-        tests.show(truncate=False)
-        summary.show(truncate=False)
+    try:
+        if args.command == "train":
+            _, metrics = jobs.train_file(
+                spark,
+                args.data_path,
+                args.model_dir,
+                validation_fraction=args.validation_fraction,
+                zero_if_unknown=args.zero_label,
+            )
+            metrics.show(truncate=False)
+        elif args.command == "score":
+            print(jobs.score_to_log(spark, args.data_path, args.model_dir, args.log_root, args.rejected_path))
+        else:
+            tests, summary = DriftMonitor(spark, args.monitor_dir).run(read_flights(spark, args.data_path))
+            tests.show(truncate=False)
+            summary.show(truncate=False)
+    finally:
+        clear(spark)
 
 
 if __name__ == "__main__":

@@ -49,3 +49,24 @@ def test_hot_carrier_lookup_falls_back_to_a_shuffle(large):
     flights = views.flights(large, SF)
     plan = FlightFeatures(holiday="explicit").fit(flights).transform(flights)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from types import SimpleNamespace
+
+    from skylag.sources.scratch import scratch_root
+
+    unset = SimpleNamespace(get=lambda key, default: default)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            scratch_root(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master)))
+
+
+def test_clearing_leaves_no_intermediate_table(spark, monkeypatch, tmp_path):
+    from skylag.sources.scratch import clear, materialize
+
+    monkeypatch.setattr("skylag.sources.scratch.scratch_root", lambda session: str(tmp_path))
+    assert materialize(spark.range(3), "three").count() == 3
+    assert list(tmp_path.iterdir())
+    clear(spark)
+    assert not list(tmp_path.iterdir())
