@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in runs of about this many bytes; one longer text is a run of its own.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LOWER = np.arange(256, dtype=np.uint8)
