@@ -46,11 +46,11 @@ def _around(array: str, at: Column, radius: int) -> Column:
 
 
 def _exploded(docs: DataFrame) -> DataFrame:
-    """One row per document word; `key` matches whatever the case of the letters."""
+    """One row per document word, and one for a document without; `key` matches whatever the case of the letters."""
     listed = docs.select(
         col("doc_id").alias("doc_id"), F.xxhash64(col("text")).alias("text_key"), words(col("text")).alias("words")
     )
-    return listed.select("doc_id", "text_key", "words", F.posexplode("words").alias("pos", "word")).withColumn(
+    return listed.select("doc_id", "text_key", "words", F.posexplode_outer("words").alias("pos", "word")).withColumn(
         "key", F.lower("word")
     )
 
@@ -84,13 +84,19 @@ def anchors(benchmark: DataFrame, docs: DataFrame, window: int = WINDOW) -> Data
     )
 
 
-def _matches(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+def _candidates(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    """The first word of every document, for its size, and all words that may be anchors, with their surroundings."""
+    first = F.col("pos").isNull() | (F.col("pos") == 0)
+    near = with_maybe(_exploded(docs), key_bits(found, F.xxhash64("key")), F.xxhash64("key"), "_maybe").where(F.col("_maybe") | first)
+    around = F.when(F.col("_maybe"), _around("words", F.col("pos"), window - 1))
+    size = F.size("words").cast("long").alias("n_words")
+    return near.select("doc_id", "text_key", "key", "pos", "_maybe", first.alias("first"), size, around.alias("doc_words"))
+
+
+def _matches(near: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """Runs of document words that are covered by windows of an item: [start, end)."""
     radius = window - 1
-    near = with_maybe(_exploded(docs), key_bits(found, F.xxhash64("key")), F.xxhash64("key"), "_maybe").where("_maybe")
-    near = near.select(
-        "doc_id", "text_key", "key", "pos", F.size("words").alias("n_words"), _around("words", F.col("pos"), radius).alias("doc_words")
-    )
+    near = near.where("_maybe")
     met = near.join(found, "key").where(F.col("n_words") >= F.col("span"))  # length bound
     same = lambda t: fold(F.get("doc_words", F.lit(radius + t))) == F.get("item_words", F.lit(radius + t))
     if radius:
@@ -112,7 +118,8 @@ def _matches(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """One row per document: its words, those hit, the items found, and whether 1/`share` is hit."""
     found = materialize(anchors(benchmark, docs, window), "anchors")
-    runs = materialize(_matches(docs, found, window).distinct(), "benchmark-runs")
+    near = materialize(_candidates(docs, found, window), "candidates")
+    runs = materialize(_matches(near, found, window).distinct(), "benchmark-runs")
     # The runs of one document are as few as its words allow.
     before = Window.partitionBy("doc_id", "text_key").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     hit = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), "start")))
@@ -121,9 +128,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         .groupBy("doc_id", "text_key").agg(F.sum("hit").alias("n_hit"))
     )
     items = runs.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    sizes = docs.select(
-        col("doc_id").alias("doc_id"), F.xxhash64(col("text")).alias("text_key"), F.size(words(col("text"))).cast("long").alias("n_words")
-    )
+    sizes = near.where("first").select("doc_id", "text_key", "n_words")
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_key"] == b["text_key"])
     both = hits.join(items, on(hits, items)).select(hits["doc_id"], hits["text_key"], "n_hit", "items")
     out = sizes.join(both, on(sizes, both), "left")
