@@ -29,6 +29,34 @@ def test_held_out_rows_are_told_apart(spark):
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
 
 
+def test_held_out_toxic_rows_are_rejected(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    fit, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
+    judged = quality.score(docs, fit, good_label()).join(docs.select("doc_id", "lang", "text"), "doc_id").join(held, "doc_id").collect()
+
+    def kept(rows):
+        return sum(r["kept"] for r in rows) / len(rows)
+
+    insult = re.compile(r"(?i)\b(trash|pathetic|idiot|disgusting|worthless|clown|loser|scum|stupid|moron)\b")
+    prose = [r for r in judged if r["quality"] == 1]
+    good, toxic = ([r for r in prose if r["toxic"] == t] for t in (0, 1))
+    insulting = [r for r in toxic if insult.search(r["text"])]
+    assert kept(good) > 0.98 and kept(insulting) < 0.02
+    assert kept([r for r in judged if r["quality"] == 0]) < 0.05
+    assert kept(toxic) < 0.45  # the others have no word in common that non-toxic rows lack
+    for lang in ("de", "en", "es", "fr"):
+        assert kept([r for r in good if r["lang"] == lang]) > 0.97, lang
+
+
+def test_no_length_outweighs_words_against_a_text(spark):
+    prose = "The quick and the slow went over this and that hill. " * 3
+    texts = [f"{prose} word{i}" for i in range(60)] + [f"{prose} vile{' so' * (i % 3)}" for i in range(20)] + [prose * 200 + "Vile!"]
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(80)], "doc_id long, good int")
+    rows = {r["doc_id"]: r for r in quality.score(plain(spark, texts), labels, F.col("good") == 1).collect()}
+    assert rows[80]["word_weight"] < -2 and rows[0]["word_weight"] == 0
+    assert not rows[80]["kept"] and sum(rows[i]["kept"] for i in range(60)) >= 57
+
+
 @pytest.mark.parametrize("k", [1, 50, 999, 5000])
 def test_exactly_k_are_drawn_and_drawn_again_alike(spark, k):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
