@@ -205,6 +205,24 @@ def test_licences_are_found_and_inherited_from_the_nearest_folder(spark):
     assert out[2]["licensed_by"] == "a" and out[4]["licensed_by"] == "a/c" and out[1]["score"] == 1.0
 
 
+def test_licence_files_of_real_length_are_found_and_inherited(spark):
+    whole = [name for name in licenses.TEXTS if not name.endswith(".header")]
+    code = "def run(x): return x + 1\n" * 40
+    files, want = [], {}
+    for k, name in enumerate(whole):
+        text = f"{name} project\n\nCopyright (c) 2021-2024 Some One. All rights reserved.\n\n" + "\n# ".join(licenses.TEXTS[name].splitlines())
+        files += [(2 * k, f"{name}/LICENSE", text.replace("holder", "owner")), (2 * k + 1, f"{name}/src/a/code", code)]
+        want |= {2 * k: (name, "own"), 2 * k + 1: (name, "inherited")}
+    for k, name in enumerate((name for name in licenses.TEXTS if name.endswith(".header")), 100):
+        files.append((k, f"heads/{name}", licenses.TEXTS[name] + code * 10))
+        want[k] = (name.removesuffix(".header"), "own")
+    files += [(200, "heads/bare", code), (201, "part/LICENSE", licenses.TEXTS["GPL-3.0"][:2000]), (202, "part/code", code)]
+    files += [(203, "long/code", code * 50 + licenses.TEXTS["MIT"] + code * 50), (204, "long/other", code), (205, "e", "")]
+    want |= {200: (None, "none"), 202: (None, "none"), 203: ("MIT", "own"), 204: (None, "none"), 205: (None, "none")}
+    out = {r["doc_id"]: (r["licence"], r["how"]) for r in licenses.scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert {k: out[k] for k in want} == want
+
+
 def test_every_planted_notice_is_found(spark):
     docs = table(spark, SF, "documents").withColumn("path", F.lit("x/y"))
     found = {r["doc_id"]: r["licence"] for r in licenses.scan(docs).where("how = 'own'").collect()}
