@@ -7,8 +7,9 @@ the largest dot product of demand and residual (over the residual's square, so a
 tight one wins). Weights say how scarce each capacity is.
 
 1. Tokenise once, cut documents longer than a sequence, and store one slim row per piece.
-2. Deal pieces by a hash of (document, piece, content) into groups of about GROUP pieces and pack
-   each group in one task. With thousands of pieces a group, its last unfilled sequences are a
+2. Deal pieces by a hash of (document, piece, content, salt) into groups of about GROUP pieces and pack
+   each group in one task. The salt is 0 where a piece first occurs in a batch of stored rows, and
+   tells later copies of it apart (rows that repeat id and text, or null ids with empty texts). With thousands of pieces a group, its last unfilled sequences are a
    fraction of a percent. A document or source with any share of the rows spreads over all groups.
 
 A sequence closes when no piece of its group fits any more. A piece that no sequence can hold
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,6 +186,16 @@ class Packer:
         return number, offset
 
 
+def _salted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces with `_salt`: 0 where a piece first occurs in its batch, and else another number each time."""
+    part = TaskContext.get().partitionId()
+    for number, batch in enumerate(batches):
+        keys = batch.select(["doc_id", "piece", "ids_crc32"]).to_pandas()
+        again = keys.groupby(list(keys.columns), dropna=False).cumcount().to_numpy(np.int64)
+        salt = np.where(again > 0, again + (number << 20) + (part << 42), 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(salt)], [*batch.schema.names, "_salt"])
+
+
 def pack(
     pieces: DataFrame, tokens: int = TOKENS, documents: int = DOCUMENTS, cost: int = COST, rule: str = "norm", group: int = GROUP
 ) -> DataFrame:
@@ -201,7 +213,8 @@ def pack(
         frame["offset"] = [o for _, o in placed]
         return frame.drop(columns="_group")
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    salted = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(_salted, _PIECE_SQL + ", _salt long")
+    dealt = salted.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_salt"), F.lit(groups))).drop("_salt")
     return dealt.groupBy("_group").applyInPandas(run, _PIECE_SQL + ", sequence_id long, offset long")
 
 

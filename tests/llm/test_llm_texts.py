@@ -177,6 +177,15 @@ def test_every_capacity_holds_and_few_sequences_are_used(spark, rule, documents,
         assert len(filled) <= math.ceil(sum(lengths) / 2048) * 1.02 + 2
 
 
+@pytest.mark.parametrize("doc_id", [5, None])
+def test_equal_rows_spread_over_all_groups(spark, doc_id):
+    rows = [(doc_id, 0, 0, 1, 9)] * 30_000 + [(i, 0, 0, 7, i) for i in range(100, 10_100)]
+    found = packing.pack(spark.createDataFrame(rows, packing._PIECE_SQL), group=2000).collect()
+    assert Counter((r["doc_id"], r["length"]) for r in found) == Counter((r[0], r[3]) for r in rows)
+    groups = Counter(r["sequence_id"] >> 32 for r in found)
+    assert len(groups) == 20 and max(groups.values()) < 1.3 * 2000
+
+
 def test_unknown_rule_is_refused():
     with pytest.raises(ValueError):
         packing.Packer(np.ones((1, 3), np.int64), (1, 1, 1), "first")
