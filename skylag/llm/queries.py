@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylag.llm import chat, decontaminate, exact_dedup, jaccard_join, licenses, packing, quality, secrets, sharding, warc
+from skylag.llm import (
+    chat,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    licenses,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    warc,
+    whitening,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -301,3 +313,9 @@ SELECT record_id, url, canonical_url, ts, refers_to, refers_ts, outcome,
          || 'last-modified: day ' || CASE WHEN page_id % 5 = 3 THEN page_id % 7 ELSE day END END AS headers
 FROM judged
 """
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model, error = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return whitening.by_component(rows, model, error)
