@@ -13,6 +13,7 @@ from skylag.llm import (
     exact_dedup,
     jaccard_join,
     licenses,
+    merkle,
     packing,
     quality,
     secrets,
@@ -319,3 +320,64 @@ FROM judged
 def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, model, error = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return whitening.by_component(rows, model, error)
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = merkle.leaf_hash(*map(F.col, ("doc_id", "source", "lang", "n_chars")), F.translate("text", "\n", ""))
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    leaf = merkle.leaf_hash(*map(F.col, ("doc_id", "source", "lang", "n_chars", "text")))
+    rows = merkle.manifest(docs, observed=F.when(even, tampered).otherwise(leaf))
+    return rows.select(
+        F.col("at").alias("doc_id"), "leaf", "subroot", "root", F.sha2(F.array_join("proof", ""), 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
+def _sql_field(name: str, value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _sql_leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_sql_field(n, n) for n in ("doc_id", "source", "lang", "n_chars")) + " || " + _sql_field("text", text) + ")"
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, {_sql_leaf("text")} AS leaf, {_sql_leaf("replace(text, chr(10), '')")} AS tampered,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+             i -> CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+           (c, b) -> list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             (x, y) -> xor(x >> 1, 3988292384::BIGINT * (x & 1)))) & 1 AS odd,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents),
+levels(source, level, nodes) AS (
+  SELECT source, 0, list(leaf ORDER BY place) FROM leaves GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, list_transform(range(0, CAST(ceil(len(nodes) / 3.0) AS BIGINT)), i -> sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+  FROM levels WHERE len(nodes) > 1),
+subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree_place FROM levels WHERE len(nodes) = 1),
+tops(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY tree_place) FROM subroots
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, CAST(ceil(len(nodes) / 3.0) AS BIGINT)), i -> sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+  FROM tops WHERE len(nodes) > 1),
+low(doc_id, source, level, place, folded, proof) AS (
+  SELECT doc_id, source, 0, place, CASE WHEN odd = 1 THEN coalesce(tampered, leaf) ELSE leaf END, '' FROM leaves
+  UNION ALL
+  SELECT doc_id, w.source, w.level + 1, place // 3,
+         sha256(array_to_string(nodes[place - place % 3 + 1:place], '') || folded || array_to_string(nodes[place + 2:place - place % 3 + 3], '')),
+         proof || array_to_string(nodes[place - place % 3 + 1:place], '') || array_to_string(nodes[place + 2:place - place % 3 + 3], '')
+  FROM low w JOIN levels n ON n.level = w.level AND n.source IS NOT DISTINCT FROM w.source AND len(nodes) > 1),
+high(doc_id, level, place, folded, proof) AS (
+  SELECT doc_id, 0, tree_place, folded, proof FROM (
+    SELECT doc_id, source, arg_max(folded, level) AS folded, arg_max(proof, level) AS proof FROM low GROUP BY doc_id, source) d
+  JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source
+  UNION ALL
+  SELECT doc_id, w.level + 1, place // 3,
+         sha256(array_to_string(nodes[place - place % 3 + 1:place], '') || folded || array_to_string(nodes[place + 2:place - place % 3 + 3], '')),
+         proof || array_to_string(nodes[place - place % 3 + 1:place], '') || array_to_string(nodes[place + 2:place - place % 3 + 3], '')
+  FROM high w JOIN tops n ON n.level = w.level AND len(nodes) > 1),
+ends AS (SELECT doc_id, arg_max(folded, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM high GROUP BY doc_id)
+SELECT l.doc_id, leaf, subroot, nodes[1] AS root, proof_sha256, folded_root, folded_root = nodes[1] AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN ends USING (doc_id), tops WHERE len(nodes) = 1
+"""
