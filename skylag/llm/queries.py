@@ -18,6 +18,7 @@ from skylag.llm import (
     quality,
     secrets,
     sharding,
+    substrings,
     warc,
     whitening,
 )
@@ -346,20 +347,20 @@ ORACLES["op12_merkle_manifest"] = f"""
 WITH RECURSIVE leaves AS (
   SELECT doc_id, source, {_sql_leaf("text")} AS leaf, {_sql_leaf("replace(text, chr(10), '')")} AS tampered,
          list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
-             i -> CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
-           (c, b) -> list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
-             (x, y) -> xor(x >> 1, 3988292384::BIGINT * (x & 1)))) & 1 AS odd,
+             lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT))),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))) & 1 AS odd,
          row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents),
 levels(source, level, nodes) AS (
   SELECT source, 0, list(leaf ORDER BY place) FROM leaves GROUP BY source
   UNION ALL
-  SELECT source, level + 1, list_transform(range(0, CAST(ceil(len(nodes) / 3.0) AS BIGINT)), i -> sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+  SELECT source, level + 1, list_transform(range(0, CAST(ceil(len(nodes) / 3.0) AS BIGINT)), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
   FROM levels WHERE len(nodes) > 1),
 subroots AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS tree_place FROM levels WHERE len(nodes) = 1),
 tops(level, nodes) AS (
   SELECT 0, list(subroot ORDER BY tree_place) FROM subroots
   UNION ALL
-  SELECT level + 1, list_transform(range(0, CAST(ceil(len(nodes) / 3.0) AS BIGINT)), i -> sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
+  SELECT level + 1, list_transform(range(0, CAST(ceil(len(nodes) / 3.0) AS BIGINT)), lambda i: sha256(array_to_string(nodes[3 * i + 1:3 * i + 3], '')))
   FROM tops WHERE len(nodes) > 1),
 low(doc_id, source, level, place, folded, proof) AS (
   SELECT doc_id, source, 0, place, CASE WHEN odd = 1 THEN coalesce(tampered, leaf) ELSE leaf END, '' FROM leaves
@@ -381,3 +382,23 @@ ends AS (SELECT doc_id, arg_max(folded, level) AS folded_root, sha256(arg_max(pr
 SELECT l.doc_id, leaf, subroot, nodes[1] AS root, proof_sha256, folded_root, folded_root = nodes[1] AS verified
 FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source JOIN ends USING (doc_id), tops WHERE len(nodes) = 1
 """
+
+
+@query
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.repeated_words(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op13_substring_dedup"] = """
+WITH docs AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS passage FROM docs, unnest(range(1, len(w) - 48)) AS t(i)),
+firsts AS (SELECT passage, min(doc_id) AS first_doc FROM windows GROUP BY passage HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT doc_id, list(DISTINCT k) AS ks FROM (
+          SELECT doc_id, unnest(range(i, i + 50)) AS k FROM windows JOIN firsts USING (passage) WHERE doc_id > first_doc) GROUP BY doc_id),
+flags AS (SELECT d.doc_id, w, ks, unnest(range(1, len(w) + 1)) AS k FROM docs d JOIN hit USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(w[k], ' ' ORDER BY k) AS text FROM flags WHERE NOT list_contains(ks, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN ks IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
+FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
