@@ -6,7 +6,8 @@ capacity, one is chosen by weighted residuals: either the least norm of what wou
 the largest dot product of demand and residual (over the residual's square, so a
 tight one wins). Weights say how scarce each capacity is.
 
-1. Tokenise once, cut documents longer than a sequence, and store one slim row per piece.
+1. Tokenise the distinct words of each chunk of texts once, cut documents longer than a sequence, and store one slim
+   row per piece. Special tokens' strings in a text are special tokens, as the tokenizer's plain call has it.
 2. Deal pieces by a hash of (document, piece, content, salt) into groups of about GROUP pieces and pack
    each group in one task. The salt is 0 where a piece first occurs in a batch of stored rows, and
    tells later copies of it apart (rows that repeat id and text, or null ids with empty texts). With thousands of pieces a group, its last unfilled sequences are a
@@ -22,17 +23,18 @@ itself; further columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skylag.llm import hashing
 from skylag.llm.keys import col
 from skylag.sources.scratch import materialize
 
@@ -45,8 +47,10 @@ CLOSING = struct.pack("<I", 0)
 GROUP = 10_000
 #: How fast a capacity that does not bind loses weight.
 SCARCITY = 8
-#: Words, and parts of words, whose ids a worker remembers: some 40 MB.
-CACHE = 200_000
+#: Bytes of text whose distinct words are tokenised together.
+CHUNK = 32 << 20
+#: Words whose ids are put in a row at once.
+STEP = 1 << 19
 
 _PIECE = pa.schema(
     [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
@@ -54,89 +58,148 @@ _PIECE = pa.schema(
 _PIECE_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class _Words:
-    """Ids of words, remembered by a worker from one task to the next.
+def _gather(flat: np.ndarray, edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of the lists `which`, one after another, and the edges of these lists."""
+    start, size = edges[which], edges[which + 1] - edges[which]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], ends
 
-    The tokenizer drops white space and no rule of it reaches across, so words stand alone. It lowers A-Z,
-    and it parts a letter from marks behind it (apostrophes excepted), so a word is looked up as
-    lower-case core and marks.
-    """
 
-    _made: dict[str, _Words] = {}
-    _PARTS = re.compile(rb"(.*[a-z])([^a-z0-9'\x00-\x20\x7f-\xff]+)", re.DOTALL)
+#: Letters, digits, marks, and bytes whose words are not cut: apostrophes, control characters, all beyond ASCII.
+_LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[48:58] = _DIGIT
+_KIND[97:123] = _LETTER
+_KIND[39] = _ODD
 
-    @classmethod
-    def of(cls, vocabulary: str) -> _Words:
-        if vocabulary not in cls._made:
-            cls._made[vocabulary] = cls(vocabulary)
-        return cls._made[vocabulary]
+
+class _Words:
+    """Ids of words. The tokenizer drops white space and no rule of it reaches across, so words stand alone.
+
+    It lowers A-Z and parts letters, digits and marks, so plain words are cut there, and every distinct part is tokenised once: all
+    in one text, where letters are told apart by the tokens that end a run, and others by a special token between them.
+    """
 
     def __init__(self, vocabulary: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)  # tokens that end a run of letters
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.whole: dict[bytes, bytes] = {}
-        self.part: dict[bytes, bytes] = {}
-
-    def ids(self, text: bytes) -> bytes:
-        """Ids of a text, four bytes each, with the closing id."""
-        for known in (self.whole, self.part):
-            if len(known) > CACHE:
-                known.clear()
-        words = text.split()  # ASCII white space
-        found = list(map(self.whole.get, words))
-        if None in found:
-            self._learn({w for w, f in zip(words, found, strict=True) if f is None})
-            found = map(self.whole.__getitem__, words)
-        return b"".join(found) + CLOSING
-
-    def _learn(self, words: set[bytes]) -> None:
-        split = {}
-        for word in words:
-            low = word.lower()
-            match = self._PARTS.fullmatch(low)
-            split[word] = match.groups() if match else (low, b"")
-        new = [p for p in {p for pair in split.values() for p in pair} if p not in self.part]
-        part = self.part
-        plain, other = [], []
-        for p in new:
-            (plain if p.isalpha() else other).append(p)  # A-Z and a-z only: one run of letters
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else ids
-        raw, start = ids.tobytes(), 0
-        for p, stop in zip(plain, stops.tolist(), strict=True):
-            part[p] = raw[4 * start : 4 * stop]
-            start = stop
-        for at in range(0, len(other), 5000):
-            chunk = other[at : at + 5000]
-            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in chunk], add_special_tokens=False)
-            part.update((p, struct.pack(f"<{len(i)}I", *i)) for p, i in zip(chunk, (e.ids for e in found), strict=True))
-        self.whole.update((word, part[core] + part[marks]) for word, (core, marks) in split.items())
+        names = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
+        self.gap, self.gap_id = self.special[0], names[self.special[0]]
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, parts: list[bytes], kinds: np.ndarray, special: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts, one after another, and their edges."""
+        letters, alone = np.flatnonzero(kinds == _LETTER), np.flatnonzero(special)
+        others = np.flatnonzero((kinds != _LETTER) & ~special)
+        flat, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        if len(letters):
+            ids = self._ids([b" ".join(parts[i] for i in letters).decode()])[0]
+            flat.append(ids)
+            sizes.append(np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        if len(others):
+            ids = self._ids([self.gap.join(parts[i].decode("utf-8", "replace") for i in others)])[0]
+            gaps = np.flatnonzero(ids == self.gap_id)
+            flat.append(np.delete(ids, gaps))
+            sizes.append(np.diff(np.concatenate([[-1], gaps, [len(ids)]])) - 1)
+        for ids in self._ids([parts[i].decode("utf-8", "replace") for i in alone]) if len(alone) else ():
+            flat.append(ids)
+            sizes.append(np.array([len(ids)]))
+        order = np.empty(len(parts), np.int64)
+        order[np.concatenate([letters, others, alone])] = np.arange(len(parts))
+        return _gather(np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), order)
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, one after another, and their edges."""
+        n = len(words)
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + n + 1].astype(np.int64)
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        folded = pc.ascii_lower(words)
+        special = np.zeros(n, bool)
+        for s in self.special:
+            special |= pc.match_substring(folded, s).to_numpy(zero_copy_only=False)
+        low = hashing.LOWER[data]
+        size = np.diff(offsets)
+        raw = np.repeat(special, size)
+        low[raw] = data[raw]  # only its exact string is a special token
+        kind = _KIND[low]
+        odd = np.concatenate([[0], np.cumsum(kind == _ODD)])
+        kind[np.repeat((odd[offsets[1:]] > odd[offsets[:-1]]) | special, size)] = _ODD
+        cut = np.ones(len(low) + 1, bool)
+        if len(low):
+            cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+            cut[offsets] = True
+        start = np.flatnonzero(cut)
+        count = len(start) - 1
+        parts = pa.Array.from_buffers(pa.binary(), count, [None, pa.py_buffer(start.astype(np.int32)), pa.py_buffer(low.tobytes())])
+        coded = pc.dictionary_encode(parts)
+        which = coded.indices.to_numpy()
+        distinct = len(coded.dictionary)
+        kinds, marked = np.zeros(distinct, np.uint8), np.zeros(distinct, bool)
+        kinds[which] = kind[start[:-1]]
+        marked[which] = raw[start[:-1]]
+        flat, ends = _gather(*self._encode(coded.dictionary.to_pylist(), kinds, marked), which)
+        return flat, ends[np.searchsorted(start, offsets)]
+
+
+def _documents(words: _Words, texts: pa.Array) -> Iterator[bytes]:
+    """Ids of each text, four bytes each, with the closing id."""
+    lists = pc.ascii_split_whitespace(texts)  # as a list of words; an empty one where white space leads or ends
+    coded = pc.dictionary_encode(lists.flatten())
+    flat, edges = words.learn(coded.dictionary)
+    indices = coded.indices.to_numpy()
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    row = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(ends, ends[row] + STEP, side="right")) - 1)
+        found, at = _gather(flat, edges, indices[ends[row] : ends[last]])
+        raw, at = found.astype("<u4").tobytes(), 4 * at[ends[row : last + 1] - ends[row]]
+        for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield raw[begin:end] + CLOSING
+        row = last
 
 
 def tokenise(docs: DataFrame, vocabulary: str, tokens: int = TOKENS) -> DataFrame:
     """One row per piece of a document. `vocabulary`: a tokenizer file that each task can open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words.of(vocabulary)
-        for batch in batches:
+        words = _Words(vocabulary)
+        held: list[pa.RecordBatch] = []
+
+        def cut():
+            table = pa.Table.from_batches(held).combine_chunks()
+            texts = pc.fill_null(table.column(1), "").combine_chunks()
             out = []
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = words.ids(text.as_py() or b"")
+            for doc_id, ids in zip(table.column(0).to_pylist(), _documents(words, texts), strict=True):
                 for piece, start in enumerate(range(0, len(ids) // 4, tokens)):
                     part = ids[4 * start : 4 * (start + tokens)]
-                    out.append((doc_id.as_py(), piece, start, len(part) // 4, zlib.crc32(part)))
+                    out.append((doc_id, piece, start, len(part) // 4, zlib.crc32(part)))
                 if len(out) >= 5000:
                     yield _batch(out, _PIECE)
                     out = []
             if out:
                 yield _batch(out, _PIECE)
 
-    slim = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("binary").alias("text"))
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > CHUNK:
+                yield from cut()
+                held.clear()
+                size = 0
+        if size:
+            yield from cut()
+
+    slim = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
     return slim.mapInArrow(run, _PIECE_SQL)
 
 

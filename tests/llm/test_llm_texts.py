@@ -24,7 +24,7 @@ def test_held_out_rows_are_told_apart(spark):
     docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
     fit, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     judged = quality.score(docs, fit, good_label()).join(held, "doc_id").collect()
-    good = [r["kept"] for r in judged if r["quality"] == 1]
+    good = [r["kept"] for r in judged if r["quality"] == 1 and r["toxic"] == 0]
     bad = [r["kept"] for r in judged if r["quality"] == 0]
     assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.1
 
@@ -43,7 +43,7 @@ def test_held_out_toxic_rows_are_rejected(spark):
     insulting = [r for r in toxic if insult.search(r["text"])]
     assert kept(good) > 0.98 and kept(insulting) < 0.02
     assert kept([r for r in judged if r["quality"] == 0]) < 0.05
-    assert kept(toxic) < 0.45  # the others have no word in common that non-toxic rows lack
+    assert kept(toxic) < 0.15  # the others have no word in common that non-toxic rows lack
     for lang in ("de", "en", "es", "fr"):
         assert kept([r for r in good if r["lang"] == lang]) > 0.97, lang
 
@@ -143,7 +143,6 @@ def _ids(text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary())
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
 
 
