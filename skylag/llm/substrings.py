@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylag.llm import hashing
-from skylag.llm.hot import join_counted
+from skylag.llm.hot import HOT, join_counted
 from skylag.llm.keys import col, fresh, key_bits, with_maybe
 from skylag.sources.scratch import materialize
 
@@ -42,7 +42,9 @@ ANCHOR = 12
 #: Suffixes of a group that one task holds.
 GROUP = 4096
 #: A task builds the trees of whole groups once they have this many suffixes.
-BATCH = 32_768
+BATCH = 16_384
+#: Rows of texts that leave a task at once.
+ROWS = 1000
 LEAST = -(1 << 63)
 
 _SPACE = np.ones(256, np.uint8)
@@ -278,6 +280,26 @@ def _full_prefixes(width: int):
     return run
 
 
+def _met(known: dict[bytes, int], width: int):
+    """Spans of the windows that are frequent deep nodes (digest to smallest doc); neighbouring windows are one span."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[int]] = []
+            for window, doc, key, start in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                low = known.get(window)
+                if low is None or doc <= low:
+                    continue
+                if out and out[-1][:2] == [doc, key] and out[-1][3] == start + width - 1:
+                    out[-1][3] += 1
+                else:
+                    out.append([doc, key, start, start + width])
+            if out:
+                yield _batch(out, _SPAN)
+
+    return run
+
+
 def _source(docs: DataFrame) -> DataFrame:
     text = F.coalesce(col("text"), F.lit(""))
     return docs.select(
@@ -339,8 +361,12 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, grou
         windows.groupBy("window").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high"),
         "substring-nodes",
     )
-    met = join_counted(windows, nodes, ["window"], "n", nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    more = met.where("doc > low").select("doc", "key", "start", (F.col("start") + width).alias("stop"))
+    bound = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // HOT
+    often = nodes.where(F.col("n") > bound)
+    known = {bytes(r["window"]): r["low"] for r in often.collect()}  # fewer than HOT rows
+    more = windows.mapInArrow(_met(known, width), _SPAN_SQL)
+    seldom = windows.join(F.broadcast(often.select("window")), "window", "left_anti").join(nodes.where(F.col("n") <= bound), "window")
+    more = more.unionByName(seldom.where("doc > low").select("doc", "key", "start", (F.col("start") + width).alias("stop")))
     listed = spans.unionByName(more).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # of one text
     none = F.array().cast("array<struct<start: int, stop: int>>")
     return materialize(
@@ -353,27 +379,29 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, grou
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number of words, number of repeated ones, and the words that stay, for text, whole, spans in the last three columns."""
-    for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        *rest, texts, whole, spans = batch.columns
-        for text, all_of_it, cuts in zip(texts, whole.to_pylist(), spans, strict=True):
-            words = (text.as_py() or b"").split()
-            n_words.append(len(words))
-            if all_of_it:
-                stay = []
-            elif cuts.is_valid and len(cuts):
-                gone = np.zeros(len(words), bool)
-                for cut in cuts.as_py():
-                    gone[cut["start"] : cut["stop"]] = True
-                stay = [words[i] for i in np.flatnonzero(~gone).tolist()]
-            else:
-                stay = words
-            n_removed.append(len(words) - len(stay))
-            kept.append(b" ".join(stay))
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())],
-            [*batch.schema.names[:-3], "n_words", "n_removed", "kept"],
-        )
+    for whole_batch in batches:
+        for first in range(0, whole_batch.num_rows, ROWS):
+            batch = whole_batch.slice(first, ROWS)
+            n_words, n_removed, kept = [], [], []
+            *rest, texts, whole, spans = batch.columns
+            for text, all_of_it, cuts in zip(texts, whole.to_pylist(), spans, strict=True):
+                words = (text.as_py() or b"").split()
+                n_words.append(len(words))
+                if all_of_it:
+                    stay = []
+                elif cuts.is_valid and len(cuts):
+                    gone = np.zeros(len(words), bool)
+                    for cut in cuts.as_py():
+                        gone[cut["start"] : cut["stop"]] = True
+                    stay = [words[i] for i in np.flatnonzero(~gone).tolist()]
+                else:
+                    stay = words
+                n_removed.append(len(words) - len(stay))
+                kept.append(b" ".join(stay))
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())],
+                [*batch.schema.names[:-3], "n_words", "n_removed", "kept"],
+            )
 
 
 def _with_spans(docs: DataFrame, **options) -> tuple[DataFrame, list[str]]:
