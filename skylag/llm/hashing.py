@@ -1,6 +1,6 @@
 """Hashes of words straight from the bytes of an Arrow string column, without Python strings.
 
-A word's hash is a polynomial of its bytes modulo 2 ** 64, read off running sums, and then mixed.
+A word's hash is a polynomial of its bytes modulo 2 ** 61 - 1, read off running sums, and then mixed.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import pyarrow as pa
 
 #: Texts are taken in runs of about this many bytes; one longer text is a run of its own.
 RUN_BYTES = 1 << 18
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Word hashes are polynomials modulo this prime: modulo a power of two, some words of 1,024 letters collide for every base.
+_PRIME = (1 << 61) - 1
+_BASE = 0x0E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, _PRIME)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -27,21 +29,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, for numbers below it."""
+    low32, three, five, prime = np.uint64(0xFFFFFFFF), np.uint64(3), np.uint64(29), np.uint64(_PRIME)
+    ah, al, bh, bl = a >> np.uint64(32), a & low32, b >> np.uint64(32), b & low32
+    middle = ah * bl + al * bh  # below 2 ** 62
+    low = al * bl
+    # 2 ** 64 = 8 and 2 ** 61 = 1 modulo the prime.
+    total = (ah * bh << three) + (middle >> five) + ((middle & np.uint64((1 << 29) - 1)) << np.uint64(32))
+    total = _folded(total) + _folded(low)
+    return _folded(total) % prime
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    return (x & np.uint64(_PRIME)) + (x >> np.uint64(61))
+
+
 class _Powers:
+    """Powers of the base in two halves of 32 bits, and those of its inverse."""
+
     @staticmethod
     def _table(base: int, size: int) -> np.ndarray:
-        factors = np.full(size, base, np.uint64)
-        factors[0] = 1
-        return np.cumprod(factors)
+        out = np.ones(1, np.uint64)
+        while len(out) < size:  # doubled: the second half is the first times one power
+            step = np.full(len(out), pow(base, len(out), _PRIME), np.uint64)
+            out = np.concatenate([out, _times(out, step)])
+        return out[:size]
 
     def __init__(self):
-        self.up = self.down = np.empty(0, np.uint64)
+        self.high = self.low = self.down = np.empty(0, np.uint64)
 
-    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.down) < n:
             size = max(n, 2 * RUN_BYTES)
-            self.up, self.down = (self._table(b, size) for b in (_BASE, _INVERSE))
-        return self.up, self.down
+            up = self._table(_BASE, size)
+            self.high, self.low, self.down = up >> np.uint64(32), up & np.uint64(0xFFFFFFFF), self._table(_INVERSE, size)
+        return self.high, self.low, self.down
 
 
 _POWERS = _Powers()
@@ -89,11 +112,17 @@ def places(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each word; A-Z count as a-z."""
     n = len(data)
-    up, down = _POWERS.of(n + 1)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
+    high, low, down = _POWERS.of(n + 1)
+    value = LOWER[data].astype(np.uint64) + np.uint64(1)
+    sums = []
+    for half in (high, low):  # a word of less than 2 ** 23 bytes has a sum below 2 ** 64
+        total = np.empty(n + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(value * half[:n], out=total[1:])
+        sums.append(_folded(total[ends] - total[starts]))  # differences hold though the sums may wrap
+    top, rest = (_folded(v) for v in sums)
+    h = _times(top % np.uint64(_PRIME), np.uint64(1 << 32)) + rest % np.uint64(_PRIME)
+    h = _times(_folded(h) % np.uint64(_PRIME), down[starts])
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

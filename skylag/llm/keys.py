@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The table of key bits has at most 2 ** (BITS - 6) rows of 16 bytes, whatever the input: 2 MB.
@@ -71,3 +71,20 @@ def without(df: DataFrame, dropped: DataFrame, key: list[Column], names: list[st
         condition = condition & k.eqNullSafe(out[c])
     kept = some.join(out, condition, "left_anti")
     return marked.where(~F.col(maybe)).unionByName(kept).drop(maybe)
+
+
+def once(df: DataFrame, repeated: DataFrame, key: list[Column], names: list[str]) -> DataFrame:
+    """`df` with one row of each `key` that is a row of `repeated` (columns `names`); all other rows stay."""
+    maybe, nth, *local = fresh(df, "_maybe", "_nth", *(f"_key{i}" for i in range(len(key))))
+    marked = with_maybe(df, key_bits(repeated, F.xxhash64(*names)), F.xxhash64(*key), maybe)
+    out = repeated.select(*(F.col(n).alias(c) for n, c in zip(names, local, strict=True))).distinct().withColumn(nth, F.lit(1))
+    condition = F.lit(True)
+    for k, c in zip(key, local, strict=True):
+        condition = condition & k.eqNullSafe(out[c])
+    some = marked.where(F.col(maybe)).join(out, condition, "left")
+    # Rows of one key are ranked within their partition first, so that only its first ones are shuffled.
+    listed = some.where(F.col(nth).isNotNull())
+    number = F.row_number().over(Window.partitionBy(*local).orderBy(F.lit(0)))
+    first = listed.withColumn(nth, number).where(F.col(nth) == 1)
+    own = [col(c) for c in df.columns]
+    return marked.where(~F.col(maybe)).select(own).unionByName(some.where(F.col(nth).isNull()).select(own)).unionByName(first.select(own))
