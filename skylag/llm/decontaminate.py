@@ -7,7 +7,8 @@ joined on the rarest word alone, and every meeting is verified word by word.
 
 * A row per benchmark word and place is an anchor if that word is the rarest of a window.
 * Document words that can be no anchor fall to a bit table of bounded size, inside the scan.
-* The others travel with the `window - 1` words on either side, never with their document.
+* Texts are cut into blocks of BLOCK words with `window - 1` more on either side, in one expression, so a word is told apart
+  beside its block and never beside its document. Those that may be anchors go on with the words around them.
 * Length bound: a run of equal words through the anchor must be as long as the window.
   Positional bound: the neighbour on one side at least must be equal.
 
@@ -27,6 +28,8 @@ from skylag.llm.keys import col, key_bits, with_maybe, without
 from skylag.sources.scratch import materialize
 
 WINDOW = 13
+#: Words of a block; a row of an exploded word holds no more, whatever the length of its text.
+BLOCK = 256
 #: Words before A-Z are lowered: the class without A-Z, since those become letters.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -45,14 +48,31 @@ def _around(array: str, at: Column, radius: int) -> Column:
     return F.transform(F.sequence(F.lit(-radius), F.lit(radius)), lambda t: F.get(array, at + t))
 
 
-def _exploded(docs: DataFrame) -> DataFrame:
-    """One row per document word, and one for a document without; `key` matches whatever the case of the letters."""
-    listed = docs.select(
-        col("doc_id").alias("doc_id"), F.xxhash64(col("text")).alias("text_key"), words(col("text")).alias("words")
-    )
-    return listed.select("doc_id", "text_key", "words", F.posexplode_outer("words").alias("pos", "word")).withColumn(
-        "key", F.lower("word")
-    )
+def _exploded(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per document word, and one for a document without; `key` matches whatever the case of the letters.
+
+    `words` is the word's block and `at` its place there; `pos` is its place in the document of `n_words` words.
+    """
+    radius = window - 1
+
+    def blocks(array: Column) -> Column:
+        def block(first: Column) -> Column:
+            before = F.least(first, F.lit(radius))
+            return F.struct(
+                first.alias("first"), before.alias("before"), F.size(array).alias("n_words"),
+                F.slice(array, first - before + 1, before + BLOCK + radius).alias("words"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(array) - 1, F.lit(0)), F.lit(BLOCK)), block)
+
+    # The array of one element binds the words, so that they are found once.
+    cut = F.get(F.transform(F.array(words(col("text"))), blocks), F.lit(0))
+    listed = docs.select(col("doc_id").alias("doc_id"), F.xxhash64(col("text")).alias("text_key"), F.inline(cut))
+    own = F.slice("words", F.col("before") + 1, F.lit(BLOCK))
+    return listed.select("doc_id", "text_key", "first", "before", "n_words", "words", F.posexplode_outer(own).alias("_i", "word")).select(
+        "doc_id", "text_key", "n_words", "words", (F.col("_i") + F.col("before")).alias("at"), (F.col("_i") + F.col("first")).alias("pos"),
+        "word", F.lower("word").alias("key"),
+    )
 
 
 def anchors(benchmark: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -81,15 +101,15 @@ def anchors(benchmark: DataFrame, docs: DataFrame, window: int = WINDOW) -> Data
     )
     return ranked.select("item_id", "words", "span", F.col("rarest.key").alias("key"), F.col("rarest.pos").alias("pos")).distinct().select(
         "item_id", "span", "key", _around("words", F.col("pos"), window - 1).alias("item_words")
-    )
+    ).distinct()  # a repeated word has the same words around it at many places
 
 
 def _candidates(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
     """The first word of every document, for its size, and all words that may be anchors, with their surroundings."""
     first = F.col("pos").isNull() | (F.col("pos") == 0)
-    near = with_maybe(_exploded(docs), key_bits(found, F.xxhash64("key")), F.xxhash64("key"), "_maybe").where(F.col("_maybe") | first)
-    around = F.when(F.col("_maybe"), _around("words", F.col("pos"), window - 1))
-    size = F.size("words").cast("long").alias("n_words")
+    near = with_maybe(_exploded(docs, window), key_bits(found, F.xxhash64("key")), F.xxhash64("key"), "_maybe").where(F.col("_maybe") | first)
+    around = F.when(F.col("_maybe"), _around("words", F.col("at"), window - 1))
+    size = F.col("n_words").cast("long").alias("n_words")
     return near.select("doc_id", "text_key", "key", "pos", "_maybe", first.alias("first"), size, around.alias("doc_words"))
 
 

@@ -156,7 +156,7 @@ def _sql_text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _sql_matches(pattern: str, group: int, least: int, kind: str, rank: int) -> str:
+def _sql_matches(pattern: str, group: int, least: int, kind: str, rank: int, source: str = "texts") -> str:
     """Spans of the matches of a pattern: lengths of the pieces between matches and of the matches add up."""
     p = _sql_text(pattern)
     return f"""
@@ -165,30 +165,39 @@ def _sql_matches(pattern: str, group: int, least: int, kind: str, rank: int) ->
                list_sum(list_transform(gaps[1:i], lambda x: length(x)))
                + coalesce(list_sum(list_transform(matches[1:i - 1], lambda x: length(x))), 0) AS start
         FROM (SELECT doc_id, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}, 0) AS matches,
-                     regexp_extract_all(text, {p}, {group}) AS counted FROM texts) AS m, unnest(range(1, len(matches) + 1)) AS t(i))
+                     regexp_extract_all(text, {p}, {group}) AS counted FROM {source}) AS m, unnest(range(1, len(matches) + 1)) AS t(i))
       WHERE length(part) >= {least}"""
 
 
+def _sql_blanked(pattern: str, group: int, least: int, source: str) -> str:
+    """Texts with blanks in place of the matches that count."""
+    p = _sql_text(pattern)
+    return f"""
+      SELECT doc_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE
+               WHEN i > len(matches) THEN '' WHEN length(counted[i]) >= {least} THEN repeat(' ', length(matches[i])) ELSE matches[i] END), '') AS text
+      FROM (SELECT doc_id, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}, 0) AS matches,
+                   regexp_extract_all(text, {p}, {group}) AS counted FROM {source}) AS m"""
+
+
 _W, _M = secrets.WINDOW, secrets.MILLION
 _BITS = " ".join(f"WHEN regexp_matches(found, {_sql_text(p)}) THEN {b}" for _, p, b in secrets.CLASSES[:-1])
 ORACLES["op8_secret_scans"] = f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({" UNION ALL ".join(_sql_matches(p, g, n, kind, i) for i, (kind, p, g, n) in enumerate(secrets.KINDS))}),
-candidates AS ({_sql_matches(secrets.CANDIDATE % _W, 0, _W, "entropy", len(secrets.KINDS))}),
-judged AS (
-  SELECT *, CASE {_BITS} ELSE {secrets.CLASSES[-1][2]} END AS bits FROM candidates c
-  WHERE NOT ({" OR ".join(f"regexp_matches(found, {_sql_text(p)})" for p in secrets.ALLOW)})
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start <= c.start AND c.stop <= b.stop)),
+{"".join(f"blank{i + 1} AS ({_sql_blanked(p, g, n, f'blank{i}' if i else 'texts')})," for i, (_, p, g, n) in enumerate(secrets.KINDS))}
+candidates AS ({_sql_matches(secrets.CANDIDATE % _W, 0, _W, "entropy", len(secrets.KINDS), f"blank{len(secrets.KINDS)}")}),
+judged AS (SELECT *, CASE {_BITS} ELSE {secrets.CLASSES[-1][2]} END AS bits FROM candidates c),
 windows AS (
   SELECT judged.*, j, list_sum(list_transform(map_values(list_histogram(string_split(substr(found, CAST(j + 1 AS BIGINT), {_W}), ''))),
                                                lambda n: CAST(round(n * log2(n) * {_M}) AS BIGINT))) AS total
   FROM judged, unnest(range(0, length(found) - {_W - 1})) AS t(j)),
 hot AS (
-  SELECT doc_id, 'entropy' AS kind, {len(secrets.KINDS)} AS rank, start + min(j) AS start, start + max(j) + {_W} AS stop
+  SELECT doc_id, 'entropy' AS kind, {len(secrets.KINDS)} AS rank, start + min(j) AS start, start + max(j) + {_W} AS stop,
+         substr(found, CAST(min(j) + 1 AS BIGINT), CAST(max(j) - min(j) + {_W} AS BIGINT)) AS part
   FROM windows WHERE CAST(round({_W} * log2({_W}) * {_M}) AS BIGINT) - total >= floor(bits * {_W} * {_M})
   GROUP BY doc_id, start, found),
-more AS (SELECT * FROM hot h WHERE NOT EXISTS (
-  SELECT 1 FROM base b WHERE b.doc_id = h.doc_id AND b.start <= h.start AND h.stop <= b.stop)),
+more AS (SELECT * EXCLUDE (part) FROM hot WHERE NOT ({" OR ".join(
+  f"(regexp_matches(part, {_sql_text(p)}) AND NOT regexp_matches(part, {_sql_text(u)}))" for p, u in secrets.ALLOW)})),
 spans AS (SELECT doc_id, kind, rank, start, stop FROM base UNION ALL SELECT * FROM more),
 listed AS (
   SELECT doc_id, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans,

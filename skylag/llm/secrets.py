@@ -4,11 +4,13 @@ Patterns are matched leftmost and without overlap. Spark has no function for the
 matches, so they follow from lengths: the pieces between matches (`split`) and the matches
 (`regexp_extract_all`) alternate, and code points add up from the left.
 
-Entropy: a candidate is a run of at least WINDOW token characters. A window of WINDOW characters
+Pieces are walked in blocks of BLOCK, so that a text of many matches costs in proportion to its length.
+
+Entropy: a candidate is a run of at least WINDOW token characters outside the patterns' spans. A window of WINDOW characters
 slides over it; per step one count goes up and one down, and the sum of n * log2(n) over the counts
 changes by those two terms (held as whole millionths, so it never drifts). A class of characters has
 its own threshold in bits. The span reaches from the first to the last window at or above it.
-Candidates on the allow list and spans inside a pattern's span are left out.
+The allow list is held against that span, not against all of the run.
 
 One projection: nothing is shuffled. A null text is empty; equal rows get equal results; further
 columns are ignored; an empty table gives an empty result.
@@ -31,50 +33,97 @@ KINDS = (
 )
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{%d,}"
-#: Character class, pattern of its candidates, least bits per character; the first that fits counts.
-CLASSES = (("digit", r"^[0-9]+$", 3.2), ("hexadecimal", r"^[0-9A-Fa-f]+$", 3.0), ("token", r"", 3.9))
-#: Candidates that are no secrets: words, numbers, paths of words, placeholders.
+#: Character class, pattern of its candidates, least bits per character; the first that fits counts. A run of
+#: digits alone is a pattern's span already, so the digit class is for numbers in groups.
+CLASSES = (("digit", r"^[0-9/_=+-]+$", 3.0), ("hexadecimal", r"^[0-9A-Fa-f]+$", 3.0), ("token", r"", 3.9))
+#: Spans that are no secrets, as (pattern, pattern that must not be found): placeholders, dates and other short numbers, words.
+#: Words are letters without six consonants in a row and without case that goes up and down.
 ALLOW = (
-    r"^[A-Za-z]+$",
-    r"^[0-9]+([/_=-]+[0-9]+)*$",
-    r"^[A-Za-z]*([/_=+-]+[A-Za-z]*)+$",
-    r"(?i)example|placeholder|changeme|xxxxxx",
+    (r"^((?i:example|placeholder|changeme|xxxx)|[/_=+-])+$", r"^$"),
+    (r"^[0-9]{1,4}([/_=-]+[0-9]{1,4})+$", r"^$"),
+    (r"^[A-Za-z/_=+-]+$", r"[bcdfghjklmnpqrstvwxzBCDFGHJKLMNPQRSTVWXZ]{6}|[a-z][A-Z][a-z][A-Z]"),
 )
+#: Pieces between matches that are walked together.
+BLOCK = 256
 MILLION = 1_000_000
 SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,found:string>>"
 
 
-def _places(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """Spans (start, rank, end, kind, match) of the matches whose group is long enough."""
-    # Cheap test first: most texts hold no match that counts.
-    gate = {"hex": rf"[0-9a-f]{{{least}}}", "access": rf"AKIA[A-Z0-9]{{{least - 4}}}"}.get(kind, pattern)
+def _bound(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _gate(kind: str, pattern: str, least: int) -> str:
+    """A cheap test first: most texts hold no match that counts."""
+    return {"hex": rf"[0-9a-f]{{{least}}}", "access": rf"AKIA[A-Z0-9]{{{least - 4}}}"}.get(kind, pattern)
+
+
+def _pieces(text: Column, pattern: str, group: int) -> Column:
+    """(gap, found, counted) from left to right; the last piece has a gap only."""
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else matches
-    walked = F.aggregate(
-        F.arrays_zip(between.alias("gap"), matches.alias("found"), counted.alias("counted")),
-        F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(f"struct<at:bigint,out:{SPANS}>"),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.coalesce(F.char_length(x["found"]), F.lit(0))).cast("bigint").alias("at"),
-            F.when(
-                F.coalesce(F.char_length(x["counted"]) >= least, F.lit(False)),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.char_length(x["gap"])).cast("bigint").alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["found"])).cast("bigint").alias("end"),
-                            F.lit(kind).alias("kind"),
-                            x["found"].alias("found"),
-                        )
-                    ),
+    return F.arrays_zip(between.alias("gap"), matches.alias("found"), counted.alias("counted"))
+
+
+def _counts(x: Column, least: int) -> Column:
+    return F.coalesce(F.char_length(x["counted"]) >= least, F.lit(False))
+
+
+def _places(text: Column, pattern: str, group: int, least: int, kind: str, rank: int) -> Column:
+    """Spans (start, rank, end, kind, match) of the matches whose group is long enough."""
+    state = f"struct<at:bigint,out:{SPANS}>"
+
+    def span(start: Column, end: Column, found: Column) -> Column:
+        return F.struct(
+            start.cast("bigint").alias("start"), F.lit(rank).alias("rank"), end.cast("bigint").alias("end"), F.lit(kind).alias("kind"), found.alias("found")
+        )
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.char_length(x["gap"])
+        end = begin + F.coalesce(F.char_length(x["found"]), F.lit(0))
+        out = F.when(_counts(x, least), F.concat(acc["out"], F.array(span(begin, end, x["found"])))).otherwise(acc["out"])
+        return F.struct(end.cast("bigint").alias("at"), out.alias("out")).cast(state)
+
+    def block(pieces: Column):
+        start = F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state)
+        return lambda b: F.aggregate(F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)), start, step)
+
+    def shifted(blocks: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            base = F.aggregate(F.slice(blocks, F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, y: acc + y["at"])
+            return _bound(base, lambda at: F.transform(x["out"], lambda s: span(s["start"] + at, s["end"] + at, s["found"])))
+
+        return F.flatten(F.transform(blocks, one))
+
+    def walk(pieces: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
+        return _bound(F.transform(numbers, block(pieces)), shifted)
+
+    walked = _bound(_pieces(text, pattern, group), walk)
+    return F.when(F.regexp_like(text, F.lit(_gate(kind, pattern, least))), walked).otherwise(F.array().cast(SPANS))
+
+
+def _blanked(text: Column) -> Column:
+    """The text with a blank for each character of a pattern's span, pattern by pattern."""
+
+    def without(kind: str, pattern: str, group: int, least: int):
+        def blank(t: Column) -> Column:
+            kept = F.transform(
+                _pieces(t, pattern, group),
+                lambda x: F.concat(
+                    x["gap"],
+                    F.coalesce(F.when(_counts(x, least), F.repeat(F.lit(" "), F.char_length(x["found"]))).otherwise(x["found"]), F.lit("")),
                 ),
-            ).otherwise(acc["out"]).alias("out"),
-        ).cast(f"struct<at:bigint,out:{SPANS}>"),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.regexp_like(text, F.lit(gate)), walked).otherwise(F.array().cast(SPANS))
+            )
+            return F.when(F.regexp_like(t, F.lit(_gate(kind, pattern, least))), F.array_join(kept, "")).otherwise(t)
+
+        return blank
+
+    for kind, pattern, group, least in KINDS:
+        text = _bound(text, without(kind, pattern, group, least))
+    return text
 
 
 def _sum_term(n: Column, window: int) -> Column:
@@ -121,14 +170,14 @@ def _hot_windows(found: Column, threshold: Column, window: int) -> Column:
     )
 
 
-def _entropy_spans(text: Column, base: Column, window: int, rank: int) -> Column:
+def _entropy_spans(text: Column, window: int, rank: int) -> Column:
     candidates = _places(text, CANDIDATE % window, 0, window, "entropy", rank)
 
-    def allowed(x: Column) -> Column:
+    def allowed(found: Column) -> Column:
         hit = F.lit(False)
-        for pattern in ALLOW:
-            hit = hit | F.regexp_like(x["found"], F.lit(pattern))
-        return hit | F.exists(base, lambda b: (b["start"] <= x["start"]) & (x["end"] <= b["end"]))
+        for pattern, unless in ALLOW:
+            hit = hit | (F.regexp_like(found, F.lit(pattern)) & ~F.regexp_like(found, F.lit(unless)))
+        return hit
 
     def threshold(x: Column) -> Column:
         out = F.lit(CLASSES[-1][2])
@@ -138,19 +187,24 @@ def _entropy_spans(text: Column, base: Column, window: int, rank: int) -> Column
 
     def cut(x: Column) -> Column:
         ends = _hot_windows(x["found"], threshold(x), window)
-        return F.struct(x["start"].alias("start"), x["rank"].alias("rank"), ends.alias("ends"))
+        return F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["found"].alias("found"), ends.alias("ends"))
+
+    def hot(y: Column) -> Column:
+        first, last = y["ends"]["first"] - (window - 1), y["ends"]["last"] + 1
+        return F.struct(y["start"].alias("start"), y["rank"].alias("rank"), first.alias("first"), last.alias("last"),
+                        F.substring(y["found"], first + 1, last - first).alias("found"))
 
-    scored = F.filter(F.transform(F.filter(candidates, lambda x: ~allowed(x)), cut), lambda y: y["ends"]["first"] >= 0)
-    spans = F.transform(
-        scored,
+    scored = F.filter(F.transform(candidates, cut), lambda y: y["ends"]["first"] >= 0)
+    spans = F.filter(F.transform(scored, hot), lambda y: ~allowed(y["found"]))
+    return F.transform(
+        spans,
         lambda y: F.struct(
-            (y["start"] + y["ends"]["first"] - (window - 1)).cast("bigint").alias("start"),
+            (y["start"] + y["first"]).cast("bigint").alias("start"),
             y["rank"].alias("rank"),
-            (y["start"] + y["ends"]["last"] + 1).cast("bigint").alias("end"),
+            (y["start"] + y["last"]).cast("bigint").alias("end"),
             F.lit("entropy").alias("kind"),
         ),
     )
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
 
 
 def find_secrets(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -158,8 +212,8 @@ def find_secrets(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     text = F.coalesce(col("text"), F.lit(""))
     slim = lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))
     base = F.concat(*(F.transform(_places(text, p, g, n, kind, i), slim) for i, (kind, p, g, n) in enumerate(KINDS)))
-    held = docs.select(col("doc_id").alias("doc_id"), text.alias("text")).withColumn("base", base)
-    return held.withColumn("entropy", _entropy_spans(F.col("text"), F.col("base"), window, len(KINDS))).select("doc_id", "base", "entropy")
+    more = _bound(_blanked(text), lambda t: _entropy_spans(t, window, len(KINDS)))
+    return docs.select(col("doc_id").alias("doc_id"), base.alias("base"), more.alias("entropy"))
 
 
 def digest(found: DataFrame) -> DataFrame:

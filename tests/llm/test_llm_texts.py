@@ -264,26 +264,56 @@ def _base(text):
     return sorted(out)
 
 
+#: What the operator shall do, written out here and not read from it.
+PLACEHOLDERS = r"((?i:example|placeholder|changeme|xxxx)|[/_=+-])+"
+SHORT_NUMBERS = r"[0-9]{1,4}([/_=-]+[0-9]{1,4})+"
+
+
+def _harmless(s):
+    if re.fullmatch(PLACEHOLDERS, s) or re.fullmatch(SHORT_NUMBERS, s):
+        return True
+    letters = re.fullmatch(r"[A-Za-z/_=+-]+", s)
+    return bool(letters) and not re.search(r"[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{6}", s) and not re.search(r"[a-z][A-Z][a-z][A-Z]", s)
+
+
 def _entropy(text, base):
-    out, w = [], secrets.WINDOW
-    for m in re.finditer(secrets.CANDIDATE % w, text):
+    w, out = 20, []
+    for _, pattern, group, least in secrets.KINDS:
+        text = re.sub(pattern, lambda m: " " * len(m.group()) if len(m.group(group)) >= least else m.group(), text)  # noqa: B023
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
         s = m.group()
-        if any(re.search(p, s) for p in secrets.ALLOW) or any(b[0] <= m.start() and m.end() <= b[2] for b in base):
-            continue
-        bits = next(t for _, p, t in secrets.CLASSES if re.search(p, s))
-        need = math.floor(bits * w * secrets.MILLION)
+        bits = 3.0 if re.fullmatch(r"[0-9/_=+-]+", s) or re.fullmatch(r"[0-9A-Fa-f]+", s) else 3.9
+        need = math.floor(bits * w * 1_000_000)
         hot = []
         for i in range(len(s) - w + 1):
-            total = sum(round(n * math.log2(n) * secrets.MILLION) for n in Counter(s[i : i + w]).values())
-            if round(w * math.log2(w) * secrets.MILLION) - total >= need:
+            total = sum(round(n * math.log2(n) * 1_000_000) for n in Counter(s[i : i + w]).values())
+            if round(w * math.log2(w) * 1_000_000) - total >= need:
                 hot.append(i)
-        if hot:
-            span = (m.start() + hot[0], len(secrets.KINDS), m.start() + hot[-1] + w, "entropy")
-            if not any(b[0] <= span[0] and span[2] <= b[2] for b in base):
-                out.append(span)
+        if hot and not _harmless(s[hot[0] : hot[-1] + w]):
+            out.append((m.start() + hot[0], 3, m.start() + hot[-1] + w, "entropy"))
     return out
 
 
+def _spans(spark, texts):
+    return {r["doc_id"]: r["spans"] for r in secrets.digest(secrets.find_secrets(plain(spark, texts))).collect()}
+
+
+def test_secrets_of_any_class_are_seen_and_harmless_runs_are_not(spark):
+    found = ["qWmZrTbXkLpVnHsYcFdG", "example_key=aK9dL2mQ8xZ7pR4tB6nW1", "docs/example/aK9dL2mQ8xZ7pR4tB6nW1", "93847-56102-93748-56012", "0F1E2D3C4B5A69788796"]
+    clean = ["example_placeholder_changeme", "2024-01-02/2025-03-04/1999", "documentation/chapters/introduction_by_example", "AnotherWordForQuickBrownFoxes", "x" * 40]
+    spans = _spans(spark, found + clean)
+    assert all("entropy" in spans[i] for i in range(len(found))) and all(spans[i] == "" for i in range(len(found), len(found + clean)))
+    assert spans[0] == "entropy:0:20" and spans[3] == "entropy:0:23"
+
+
+def test_many_matches_in_one_text(spark):
+    rng = np.random.default_rng(5)
+    hexes = ["".join(rng.choice(list("0123456789abcdef"), 16)) for _ in range(20_000)]
+    text = " ".join(hexes)
+    spans = _spans(spark, [text])[0].split(",")
+    assert len(spans) == 20_000 and spans[-1] == f"hex:{17 * 19_999}:{17 * 19_999 + 16}"
+
+
 def test_spans_equal_brute_force(spark):
     rng = np.random.default_rng(11)
     alphabet = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=")
