@@ -39,8 +39,8 @@ from skylag.sources.scratch import materialize
 WIDTH = 50
 #: Words of an anchor: the shortest prefix of a suffix.
 ANCHOR = 12
-#: Suffixes of a group that one task holds.
-GROUP = 4096
+#: Suffixes of a group that one task holds: some 100 MB with all that a tree needs.
+GROUP = 32_768
 #: A task builds the trees of whole groups once they have this many suffixes.
 BATCH = 16_384
 #: Rows of texts that leave a task at once.
@@ -153,7 +153,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 def _sorted_depths(group: np.ndarray, words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by (group, words), and how many words each row of that order shares with the one before it."""
-    keyed = np.concatenate([group[:, None], words], axis=1).astype(">u4")
+    keyed = np.concatenate([group[:, None].astype(np.int32), words], axis=1).astype(">u4")
     order = np.argsort(np.ascontiguousarray(keyed).view(f"V{4 * keyed.shape[1]}").ravel(), kind="stable")
     ranked, sizes = keyed[order], size[order]
     differs = ranked[1:] != ranked[:-1]
@@ -175,16 +175,18 @@ def repeats(group: np.ndarray, doc: np.ndarray, left: np.ndarray, words: pa.Arra
     `words`: each row's words, apart by one space; the anchor is `left` words from its start.
     """
     split = pc.split_pattern(words, " ")
-    ids = pc.dictionary_encode(split.flatten()).indices.to_numpy().astype(np.int64) + 1  # equal words, equal numbers
+    ids = pc.dictionary_encode(split.flatten()).indices.to_numpy().astype(np.int32) + 1  # equal words, equal numbers
     ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
     n, before = len(group), width - size
     length = np.diff(ends)
     anchor = ends[:-1] + left
 
     def matrix(columns: int, step: int, start: np.ndarray, count: np.ndarray) -> np.ndarray:
-        place = start[:, None] + step * np.arange(columns)
-        inside = np.arange(columns) < count[:, None]
-        return np.where(inside, ids[np.where(inside, place, 0)], 0)
+        out = np.zeros((n, columns), np.int32)
+        for j in range(columns):
+            inside = np.flatnonzero(count > j)
+            out[inside, j] = ids[start[inside] + step * j]
+        return out
 
     _, group = np.unique(group, return_inverse=True)
     behind = np.minimum(length - left, width)

@@ -49,7 +49,7 @@ def made(seed: int, docs: int, letters: str) -> list[tuple[int, str]]:
     return rows
 
 
-@pytest.mark.parametrize(("letters", "width", "size", "group"), [("ab", 8, 3, 4), ("abcdefgh", 8, 3, 4096), ("abcdefgh", 6, 5, 3), ("aA", 10, 1, 7)])
+@pytest.mark.parametrize(("letters", "width", "size", "group"), [("ab", 8, 3, 4), ("abcdefgh", 8, 3, 32768), ("abcdefgh", 6, 5, 3), ("aA", 10, 1, 7)])
 def test_equals_all_windows(spark, letters, width, size, group):
     rows = made(width + 10 * size, 120, letters) + [(None, "a b a b a b a b a b a b a b"), (None, None), (3, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
