@@ -100,6 +100,28 @@ def delete_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return branches.read_branch(spark, root)
 
 
+_BY_CARRIER = ["carrier_code", "flight_id"]
+
+
+@query
+def upsert_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `upsert_flights`, in a branch laid out by carrier: only the buckets of the changed carrier are read and written."""
+    root = scratch_path(spark, "upsert-buckets")
+    flights = views.flights(spark, sf_dir).select(*_KEYED)
+    branches.write(flights, root, bucket_by="carrier_code")
+    branches.write(_changes(flights), root, mode="update", key=_BY_CARRIER)
+    return branches.read_branch(spark, root)
+
+
+@query
+def delete_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "delete-buckets")
+    flights = views.flights(spark, sf_dir).select(*_KEYED)
+    branches.write(flights, root, bucket_by="carrier_code")
+    branches.write(_changes(flights), root, mode="delete", key=_BY_CARRIER)
+    return branches.read_branch(spark, root)
+
+
 @query
 def log_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_path(spark, "log")

@@ -309,6 +309,8 @@ ORACLES: dict[str, str] = {
     "write_snapshot_roundtrip": f"WITH {FLIGHTS} SELECT flight_id, origin, destination, delay_probability FROM flights",
     "upsert_flights": f"WITH {CHANGES} SELECT * FROM kept UNION ALL SELECT * FROM changes",
     "delete_flights": f"WITH {CHANGES} SELECT * FROM kept",
+    "upsert_buckets": f"WITH {CHANGES} SELECT * FROM kept UNION ALL SELECT * FROM changes",
+    "delete_buckets": f"WITH {CHANGES} SELECT * FROM kept",
     "log_predictions": f"""WITH {FLIGHTS} SELECT flight_id, delay_probability, 2 * count(*) AS n, 2 * count(*) AS n_stamped
         FROM flights GROUP BY 1, 2""",
     "append_many": f"""WITH {FLIGHTS} SELECT origin, count(*) AS n, CAST(NULL AS DOUBLE) AS miles FROM flights GROUP BY 1

@@ -139,7 +139,7 @@ def test_each_commit_is_heard_once(spark, root, tmp_path):
     branches.write(spark.range(4, 6), root, mode="append")
     branches.write(spark.range(2), root, mode="delete", key="id")
     branches.write(spark.range(5, 8), root, mode="update", key="id")
-    assert records.subscribe(spark, root, note, checkpoint, max_polls=2) == 4
+    assert records.subscribe(spark, root, note, checkpoint) == 4
     assert seen == [(2, 0, 4), (2, 1, 2), (3, 0, 4), (4, 0, 6)]
     assert records.subscribe(spark, root, note, checkpoint) == 0
     fresh: list = []
@@ -183,3 +183,72 @@ def test_auto_holiday_is_refused_on_a_stream(spark, root):
     branches.write(spark.createDataFrame([("2024-01-01T00:00:00", True)], "scheduled_departure string, is_holiday boolean"), root)
     with pytest.raises(ValueError):
         temporal_features(records.stream_records(spark, root), "auto")
+
+
+def _of_carriers(spark, *rows):
+    return spark.createDataFrame(rows, "carrier_code string, flight_id string, minutes double")
+
+
+def _files_of(path):
+    from pathlib import Path
+
+    return {str(p) for p in Path(path).rglob("*.parquet")}
+
+
+def test_an_update_of_one_carrier_rewrites_its_bucket_only(spark, root):
+    rows = [(c, f"{c}{i}", float(i)) for c in ("AA", "DL", "UA", "WN", None) for i in range(20)]
+    branches.write(_of_carriers(spark, *rows), root, bucket_by="carrier_code", buckets=16)
+    before = _files_of(root)
+    assert len({p.split("_bucket=")[1].split("/")[0] for p in before}) > 1
+    reader = branches.read_branch(spark, root)
+    key = ["carrier_code", "flight_id"]
+    path = branches.write(_of_carriers(spark, ("DL", "DL3", 99.0), ("DL", "new", 1.0)), root, mode="update", key=key)
+    written = _files_of(root) - before
+    assert len({p.split("_bucket=")[1].split("/")[0] for p in written}) == 1 and all(p.startswith(path) for p in written)
+    want = {(c, f, m) for c, f, m in rows if f != "DL3"} | {("DL", "DL3", 99.0), ("DL", "new", 1.0)}
+    read = lambda: sorted(map(tuple, branches.read_branch(spark, root).collect()), key=str)
+    assert read() == sorted(want, key=str) and reader.count() == 100
+    branches.write(_of_carriers(spark, ("UA", "UA99", 5.0)), root, mode="append")
+    branches.write(_of_carriers(spark, *[r for r in rows if r[0] == "WN"]), root, mode="delete", key=key)
+    want = {r for r in want if r[0] != "WN"} | {("UA", "UA99", 5.0)}
+    assert read() == sorted(want, key=str)
+    branches.write(_of_carriers(spark, (None, "None3", 7.0)), root, mode="update", key="flight_id")  # all buckets
+    want = {r for r in want if r[1] != "None3"} | {(None, "None3", 7.0)}
+    assert read() == sorted(want, key=str)
+    branches.write(_of_carriers(spark, *want), root, mode="delete", key="flight_id")
+    assert read() == []
+    with pytest.raises(ValueError, match="bucket"):
+        branches.write(_of_carriers(spark, *want), root)
+        records.stream_records(spark, root)
+
+
+def test_the_second_writer_of_one_folder_fails(spark, root, monkeypatch):
+    branches.write(_rows(spark, ("a", 1.0)), root)
+    same = branches._next_path(spark, root, "master")
+    monkeypatch.setattr(branches, "_next_path", lambda *_, **__: same)
+    branches.write(_rows(spark, ("b", 1.0)), root)
+    with pytest.raises(RuntimeError, match="another writer"):
+        branches.write(_rows(spark, ("c", 1.0)), root)
+    assert _content(branches.read_branch(spark, root)) == [("b", 1.0)]
+
+
+def test_a_subscriber_killed_after_its_callback_delivers_once(spark, root, tmp_path):
+    checkpoint, sink = str(tmp_path / "subscriber"), {}
+    branches.write(spark.range(3), root)
+    records.subscribe(spark, root, lambda rows, c: None, checkpoint)  # the baseline
+    branches.write(_of_carriers(spark, ("AA", "1", 1.0), ("DL", "2", 2.0)), root, bucket_by="carrier_code")
+    branches.write(_of_carriers(spark, ("AA", "3", 3.0)), root, mode="append")
+    branches.write(_of_carriers(spark, ("AA", "1", 1.0)), root, mode="delete", key=["carrier_code", "flight_id"])
+    heard = []
+
+    def deliver(rows, commit):
+        heard.append(commit[:2])
+        sink[commit[:2]] = rows.count()
+        if len(heard) == 2:
+            raise KeyError("killed between callback and note")
+
+    with pytest.raises(Exception, match="killed"):
+        records.subscribe(spark, root, deliver, checkpoint)
+    assert records.subscribe(spark, root, deliver, checkpoint) == 3
+    assert heard == [(2, 0), (2, 1), (2, 0), (2, 1), (3, 0)] and sink == {(2, 0): 2, (2, 1): 1, (3, 0): 2}
+    assert records.subscribe(spark, root, deliver, checkpoint) == 0
