@@ -221,17 +221,17 @@ def duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 def deduplicate(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
     index = Index(docs, bucket_bytes)
-    maybe, keeper, nth = fresh(docs, "_maybe", "_keeper", "_nth")
+    maybe, keeper, nth, sha, keep = fresh(docs, "_maybe", "_keeper", "_nth", "_sha", "_keep")
     marked = with_maybe(docs, index.bits, text_key(), maybe)
     own = F.xxhash64(text_key(), col("doc_id").cast("long"))
     keepers = key_bits(index.groups, F.xxhash64("key", "keep_id"))
     some = with_maybe(marked.where(F.col(maybe)), keepers, own, keeper).where(F.col(keeper))
-    groups = index.groups.select(F.col("sha").alias("_sha"), F.col("keep_id").alias("_keep"))
+    groups = index.groups.select(F.col("sha").alias(sha), F.col("keep_id").alias(keep))
     stays = some.join(
         groups,
-        (F.unhex(F.sha2(F.coalesce(col("text"), F.lit("")), 256)) == groups["_sha"])
-        & col("doc_id").cast("long").eqNullSafe(groups["_keep"]),
+        (F.unhex(F.sha2(F.coalesce(col("text"), F.lit("")), 256)) == groups[sha])
+        & col("doc_id").cast("long").eqNullSafe(groups[keep]),
         "inner",
     )
-    one = stays.withColumn(nth, F.row_number().over(Window.partitionBy("_sha", "_keep").orderBy(F.lit(0)))).where(F.col(nth) == 1)
+    one = stays.withColumn(nth, F.row_number().over(Window.partitionBy(sha, keep).orderBy(F.lit(0)))).where(F.col(nth) == 1)
     return marked.where(~F.col(maybe)).select(*map(col, docs.columns)).unionByName(one.select(*map(col, docs.columns)))

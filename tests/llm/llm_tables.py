@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLASHING = ("_maybe", "key", "n", "_word", "_bits", "score", "words", "cid", "_noise", "my.dot")
+CLASHING = ("_maybe", "key", "n", "_word", "_bits", "score", "words", "cid", "_noise", "my.dot", "_sha", "_keep", "_nth", "first", "doc", "whole", "spans")
 SCHEMA = "doc_id long, text string, path string"
 
 
