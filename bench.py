@@ -26,7 +26,7 @@ HEADLINE = [
     "carrier_features", "flight_direction", "temporal_features", "weather_impact", "validate_flights",
     "fill_defaults", "data_quality", "duplicate_rows", "upsert_flights", "score_histogram", "auc_roc",
     "average_precision", "ks_drift", "drift_summary", "drift_halves", "topk_attributions", "lineage",
-    "stream_score",
+    "stream_score", "upsert_buckets", "fold_sizes",
 ]
 RUNS = 3
 

@@ -1,6 +1,6 @@
 """The delay-probability ensemble on MLlib.
 
-Features are standardised once. For each of three hash folds, two boosted-tree models
+Features are standardised once. For each of three stratified folds, two boosted-tree models
 and a forest are fitted on the other folds, their weighted vote is scored on the
 held-out fold, and an isotonic (or sigmoid) map turns votes into probabilities. A prediction is
 the mean of the three calibrated votes.
@@ -25,7 +25,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylag.functions import fixed, flight
@@ -47,6 +47,9 @@ class BoostedParams:
     subsample: float = 0.8
     feature_share: float = 0.8
     max_bins: int = 256
+    #: Rounds end early once one lowers the loss on `validation_share` of the rows by less than this share of it; 0: never.
+    validation_tol: float = 0.0
+    validation_share: float = 0.1
 
 
 @dataclass
@@ -70,6 +73,11 @@ class EnsembleParams:
         """Trees of the full depth and bins, but so many of them."""
         return cls(BoostedParams(max_iter=rounds), BoostedParams(max_iter=rounds), ForestParams(num_trees=trees))
 
+    @classmethod
+    def early_stopping(cls, tol: float = 0.01, trees: int = 250) -> EnsembleParams:
+        """The full recipe, whose boosting ends where further rounds gain nothing on rows held out for that."""
+        return cls(BoostedParams(validation_tol=tol), BoostedParams(validation_tol=tol), ForestParams(num_trees=trees))
+
     @classmethod
     def small(cls) -> EnsembleParams:
         """A quick ensemble for trials."""
@@ -89,9 +97,26 @@ def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).withColumns(scaled).drop(*helpers)  # one row
 
 
-def fold_of(df: DataFrame, columns: list[str], seed: int, id_column: str | None = "flight_id") -> Column:
-    """Fold by hash: needs no count or order per class, and a rerun gives the same folds."""
-    return F.pmod(row_hash(df, columns, seed, id_column), F.lit(FOLDS)).cast("int")
+def with_folds(
+    df: DataFrame, label: str, columns: list[str], seed: int, id_column: str | None = "flight_id", folds: int = FOLDS
+) -> DataFrame:
+    """Add `_fold`: the row's rank by hash within its label, modulo `folds`.
+
+    Per label the folds differ by one row at most. Rows are range-partitioned by (label, hash, tie), so a label
+    with most rows is many slices; ranks are counted within a slice and start from the sum of those before it.
+    """
+    order = ["_label", "_hash", "_tie"]
+    keyed = df.withColumns(
+        {"_label": F.col(label).cast("double"), "_hash": row_hash(df, columns, seed, id_column), "_tie": F.monotonically_increasing_id()}
+    )
+    # Stored, because the borders of the slices are sampled and must be the same for counts and rows.
+    sliced = materialize(keyed.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "folds")
+    counts = sliced.groupBy("_label", "_slice").agg(F.count(F.lit(1)).alias("_n"))  # slices and labels, not rows
+    before = Window.partitionBy("_label").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_label", "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_label", "_slice").orderBy("_hash", "_tie"))
+    ranked = sliced.join(starts.hint("shuffle_hash"), ["_label", "_slice"]).withColumn("_fold", F.pmod(F.col("_start") + nth - 1, F.lit(folds)).cast("int"))
+    return ranked.drop("_label", "_hash", "_tie", "_slice", "_start")
 
 
 def row_hash(df: DataFrame, columns: list[str], seed: int, id_column: str | None = "flight_id") -> Column:
@@ -112,10 +137,11 @@ def _named(learner, name: str):
 
 
 def _boosted(p: BoostedParams, weight: str, seed: int) -> GBTClassifier:
+    watched = {"validationIndicatorCol": "_watched", "validationTol": p.validation_tol} if p.validation_tol else {}
     return GBTClassifier(
         featuresCol="features", labelCol="label", weightCol=weight,
         maxIter=p.max_iter, maxDepth=p.max_depth, maxBins=p.max_bins, stepSize=p.step_size,
-        subsamplingRate=p.subsample, featureSubsetStrategy=str(p.feature_share), seed=seed,
+        subsamplingRate=p.subsample, featureSubsetStrategy=str(p.feature_share), seed=seed, **watched,
     )
 
 
@@ -151,13 +177,12 @@ class DelayEnsemble(Estimator):
         aligned = align_features(df, self.features, keep).where(F.col(self.label).isNotNull())
         # Every fit reads this table; without it each would derive the features again.
         # One folder per fold, so that a fit opens the files of its own folds only.
+        watched = F.pmod(row_hash(aligned, self.features, p.seed + 1, self.id_column), F.lit(10_000)) < int(
+            10_000 * max(p.boosted_first.validation_share, p.boosted_second.validation_share)
+        )
+        labelled = aligned.withColumns({"label": F.col(self.label).cast("double"), "_watched": watched})
         rows = materialize(
-            aligned.withColumns(
-                {
-                    "label": F.col(self.label).cast("double"),
-                    "_fold": fold_of(aligned, self.features, p.seed, self.id_column),
-                }
-            ).select("label", *self.features, "_fold"),
+            with_folds(labelled, "label", self.features, p.seed, self.id_column).select("label", *self.features, "_watched", "_fold"),
             "training",
             partition_by="_fold",
         )
@@ -181,7 +206,7 @@ class DelayEnsemble(Estimator):
                     "_w_balanced": F.when(is_late, balanced[1.0]).otherwise(balanced[0.0]),
                 }
             )
-            .select("label", "_fold", "features", "_w_scaled", "_w_balanced")
+            .select("label", "_fold", "_watched", "features", "_w_scaled", "_w_balanced")
         )
         # The folds are independent jobs; side by side they fill each other's gaps.
         with ThreadPool(self.parallelism) as pool:
@@ -266,6 +291,11 @@ class DelayEnsembleModel(Model):
         super().__init__()
         self.features, self.prepare, self.folds, self.settings = features, prepare, folds, settings
 
+    def rounds(self) -> DataFrame:
+        """fold, learner, trees: how many trees each learner has, after early stopping."""
+        rows = [(k, name, m.getNumTrees) for k, fold in enumerate(self.folds) for name, m in zip("abc", fold.learners, strict=True)]
+        return SparkSession.getActiveSession().createDataFrame(rows, "fold int, learner string, trees int")
+
     def _score(self, df: DataFrame) -> DataFrame:
         for k, fold in enumerate(self.folds):
             df = fold.calibrate(_vote(df, fold.learners, k), k)

@@ -520,23 +520,78 @@ def route_risk_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- model --------------------------------------------------------------------------
 
-#: The full recipe has 400 rounds and 250 trees.
-ROUNDS, TREES = 10, 20
+#: The recipe's boosting with early stopping, and 50 of its 250 trees.
+TOLERANCE, TREES = 1e-4, 50
 _MODELS: dict[tuple[str, str], jobs.Fitted] = {}
 
 
 def _model(spark: SparkSession, sf_dir: str) -> jobs.Fitted:
     """The ensemble on all flights of one folder, fitted once per application.
 
-    Depth, bins and folds are those of the full recipe; the numbers of rounds and trees are
+    Rounds (400, ended early), depth, bins and folds are those of the full recipe; the number of trees of the forest is
     what a check of every query has time for.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key], _ = jobs.fit(views.flights(spark, sf_dir), model.EnsembleParams.of_rounds(ROUNDS, TREES))
+        _MODELS[key], _ = jobs.fit(views.flights(spark, sf_dir), model.EnsembleParams.early_stopping(TOLERANCE, TREES))
     return _MODELS[key]
 
 
+@query
+def rounds_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees of each learner after early stopping: as many as allowed at most, one at least."""
+    most = F.when(F.col("learner") == "c", TREES).otherwise(model.BoostedParams().max_iter)
+    used = _model(spark, sf_dir).ensemble.rounds()
+    return used.select("fold", "learner", F.col("trees").between(1, most).alias("within"), ((F.col("learner") != "c") | (F.col("trees") == TREES)).alias("whole_forest"))
+
+
+@query
+def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = views.flights(spark, sf_dir).where("dep_delay_minutes IS NOT NULL")
+    labelled = known.select("flight_id", "carrier_code", (F.col("dep_delay_minutes") >= 15).cast("int").alias("label"))
+    folds = model.with_folds(labelled, "label", ["carrier_code"], 42)
+    return folds.groupBy("label", "_fold").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("_fold", "fold")
+
+
+@query
+def path_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each learner, and those whose base value and path contributions do not add up to its margin."""
+    fitted = _model(spark, sf_dir)
+    flights = views.flights(spark, sf_dir).drop("delay_probability")
+    found = explain.path_contributions(fitted.ensemble, fitted.features.transform(flights))
+    summed = F.aggregate(F.map_values("contributions"), F.col("base_value"), lambda a, v: a + v)
+    wrong = F.coalesce(F.abs(summed - F.col("margin")) > 1e-9, F.lit(True))
+    return found.groupBy("fold", "learner").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(wrong).alias("n_wrong"))
+
+
+@query
+def vote_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, and those whose base vote and attributions do not add up to their vote."""
+    fitted = _model(spark, sf_dir)
+    flights = views.flights(spark, sf_dir).drop("delay_probability")
+    found = explain.vote_entries(fitted.ensemble, fitted.features.transform(flights), ["flight_id"])
+    summed = F.aggregate("entries", F.col("base_vote"), lambda a, e: a + e["value"])
+    # Each of the features is rounded to 6 digits.
+    wrong = F.coalesce(F.abs(summed - F.col("ensemble_vote")) > 2e-5, F.lit(True))
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(wrong).alias("n_wrong"))
+
+
+@query
+def retrain_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of what a retraining of all flights leaves: risks, drift rows, metrics by split, versions. Few shallow trees."""
+    data, models = scratch_path(spark, "retrain-data"), scratch_path(spark, "retrain-models")
+    branches.write(views.flights(spark, sf_dir).drop("delay_probability"), data)
+    result = jobs.retrain(spark, data, models, params=model.EnsembleParams.small())
+    log = branches.read_branch(spark, f"{models}/metrics")
+    logged = log.agg(
+        F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "val").alias("n_val"),
+        F.countDistinct("version").alias("n_versions"),
+        F.count_if((F.col("metric") != "n_rows") & ~F.col("value").between(0, 1)).alias("n_outside"),
+        F.sum(F.when(F.col("metric") == "n_rows", F.col("value"))).cast("long").alias("n_rows"),
+    )
+    return logged.crossJoin(F.broadcast(result.risk.agg(F.count(F.lit(1)).alias("n_risks"))))  # one row each
+
+
 @query
 def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["distance_miles", "prior_leg_delay_minutes", "dep_delay_minutes"]

@@ -521,6 +521,16 @@ ORACLES: dict[str, str] = {
         CAST(weather_severity AS INT) AS weather_severity
         FROM (SELECT * EXCLUDE (prior_leg_delay_minutes), given_prior AS prior_leg_delay_minutes FROM features)
         WHERE {FLIGHT_RULES} = 0""",
+    "rounds_used": """SELECT CAST(f AS INT) AS fold, l AS learner, true AS within, true AS whole_forest
+        FROM (VALUES (0), (1), (2)) AS folds(f), (VALUES ('a'), ('b'), ('c')) AS learners(l)""",
+    "fold_sizes": f"""WITH {FLIGHTS}, labels AS (SELECT CAST(dep_delay_minutes >= 15 AS INT) AS label, count(*) AS m
+            FROM flights WHERE dep_delay_minutes IS NOT NULL GROUP BY 1)
+        SELECT label, CAST(f AS INT) AS fold, m // 3 + CASE WHEN f < m % 3 THEN 1 ELSE 0 END AS n FROM labels, (VALUES (0), (1), (2)) AS folds(f)""",
+    "path_attributions": f"""WITH {FLIGHTS} SELECT CAST(f AS INT) AS fold, l AS learner, n_rows, CAST(0 AS BIGINT) AS n_wrong
+        FROM (SELECT count(*) AS n_rows FROM flights), (VALUES (0), (1), (2)) AS folds(f), (VALUES ('a'), ('b'), ('c')) AS learners(l)""",
+    "vote_attributions": f"WITH {FLIGHTS} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_wrong FROM flights",
+    "retrain_outputs": f"""WITH {FLIGHTS} SELECT CAST(6 AS BIGINT) AS n_train, CAST(6 AS BIGINT) AS n_val, CAST(1 AS BIGINT) AS n_versions,
+        CAST(0 AS BIGINT) AS n_outside, count(*) AS n_rows, count(DISTINCT upper(carrier_code)) AS n_risks FROM flights""",
     "stream_model_score": f"""WITH {FLIGHTS} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_different
         FROM flights WHERE {FLIGHT_RULES} = 0""",
     "stream_score_histogram": f"WITH {FLIGHTS} {_histogram('flights')}",

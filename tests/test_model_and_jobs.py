@@ -96,11 +96,37 @@ def test_standardize_uses_the_population_deviation(spark):
     assert sorted(map(tuple, model.standardize(df, ["a", "b"]).collect())) == [(-1.0, 0.0), (1.0, 0.0)]
 
 
-def test_folds_are_stable_and_cover_all(flights):
-    fold = model.fold_of(flights, [], 42)
-    rows = flights.groupBy(fold.alias("fold")).count().collect()
-    assert sorted(r["fold"] for r in rows) == [0, 1, 2]
-    assert max(r["count"] for r in rows) < 1.1 * min(r["count"] for r in rows)
+def test_folds_hold_each_label_alike(flights):
+    rows = flights.selectExpr("flight_id", "coalesce(dep_delay_minutes >= 15, false) AS late").withColumn("late", F.col("late").cast("int"))
+    folds = model.with_folds(rows, "late", [], 42)
+    assert set(folds.columns) == {"flight_id", "late", "_fold"}
+    sizes: dict[int, list[int]] = {}
+    for r in folds.groupBy("late", "_fold").count().collect():
+        sizes.setdefault(r["late"], []).append(r["count"])
+    assert all(len(v) == 3 and max(v) - min(v) <= 1 for v in sizes.values()) and sum(map(sum, sizes.values())) == rows.count()
+    again = model.with_folds(rows.repartition(3), "late", [], 42)
+    assert folds.exceptAll(again.select(folds.columns)).isEmpty()
+    same = rows.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("n")
+    assert sorted(r["count"] for r in model.with_folds(same, "late", [], 42).groupBy("_fold").count().collect()) == [33, 33, 34]
+
+
+def test_boosting_ends_early(flights):
+    matrix = jobs.fit(flights, model.EnsembleParams.small())[1]
+    watched = model.BoostedParams(max_iter=30, max_depth=2, step_size=0.5, validation_tol=0.05, validation_share=0.3)
+    params = model.EnsembleParams(watched, watched, model.ForestParams(2, 2))
+    fitted = model.DelayEnsemble(["distance_miles", "prior_leg_delay_minutes"], settings=params).fit(matrix)
+    used = {(r["fold"], r["learner"]): r["trees"] for r in fitted.rounds().collect()}
+    assert len(used) == 9 and all(1 <= n < 30 for (_, name), n in used.items() if name != "c")
+
+
+def test_path_attributions_add_up(trained, flights):
+    fitted = trained[1]
+    few = materialize(flights.orderBy("flight_id").limit(200), "few-paths")
+    rows = explain.path_contributions(fitted.ensemble, fitted.features.transform(few)).collect()
+    assert len(rows) == 200 * 9 and any(v for r in rows for v in r["contributions"].values())
+    assert max(abs(r["base_value"] + sum(r["contributions"].values()) - r["margin"]) for r in rows) < 1e-12
+    votes = explain.vote_entries(fitted.ensemble, fitted.features.transform(few), ["flight_id"]).collect()
+    assert max(abs(r["base_vote"] + sum(e["value"] for e in r["entries"]) - r["ensemble_vote"]) for r in votes) < 2e-5
 
 
 def test_training_needs_both_classes(flights):
