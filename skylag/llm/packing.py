@@ -47,8 +47,8 @@ CLOSING = struct.pack("<I", 0)
 GROUP = 10_000
 #: How fast a capacity that does not bind loses weight.
 SCARCITY = 8
-#: Bytes of text whose distinct words are tokenised together.
-CHUNK = 32 << 20
+#: Bytes of text whose distinct words are tokenised together: a task needs some ten times as many.
+CHUNK = 10 << 20
 #: Words whose ids are put in a row at once.
 STEP = 1 << 19
 
@@ -188,15 +188,22 @@ def tokenise(docs: DataFrame, vocabulary: str, tokens: int = TOKENS) -> DataFram
             if out:
                 yield _batch(out, _PIECE)
 
+        pool = pa.default_memory_pool()
         size = 0
         for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > CHUNK:
-                yield from cut()
-                held.clear()
-                size = 0
-        if size:
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))])
+            row = 0
+            while row < batch.num_rows:  # a batch holds up to 10,000 texts
+                last = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK - size, side="right")) - 1)
+                held.append(batch.slice(row, last - row))
+                size += int(ends[last] - ends[row])
+                row = last
+                if size >= CHUNK or row < batch.num_rows:
+                    yield from cut()
+                    held.clear()
+                    size = 0
+                    pool.release_unused()  # what this worker has had from earlier tasks, too
+        if held:
             yield from cut()
 
     slim = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
