@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from skylag.llm import hashing
 from skylag.llm.keys import col
+from skylag.llm.workers import lean, small_batches
 from skylag.sources.scratch import materialize
 
 TOKENS = 2048
@@ -202,12 +203,12 @@ def tokenise(docs: DataFrame, vocabulary: str, tokens: int = TOKENS) -> DataFram
                     yield from cut()
                     held.clear()
                     size = 0
-                    pool.release_unused()  # what this worker has had from earlier tasks, too
+                    pool.release_unused()
         if held:
             yield from cut()
 
     slim = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, _PIECE_SQL)
+    return slim.mapInArrow(lean(run), _PIECE_SQL)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -283,11 +284,12 @@ def pack(
         frame["offset"] = [o for _, o in placed]
         return frame.drop(columns="_group")
 
-    salted = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(_salted, _PIECE_SQL + ", _salt long")
+    salted = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").mapInArrow(lean(_salted), _PIECE_SQL + ", _salt long")
     dealt = salted.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_salt"), F.lit(groups))).drop("_salt")
     return dealt.groupBy("_group").applyInPandas(run, _PIECE_SQL + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, **limits) -> DataFrame:
-    pieces = materialize(tokenise(docs, vocabulary, limits.get("tokens", TOKENS)), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(tokenise(docs, vocabulary, limits.get("tokens", TOKENS)), "pieces")
     return pack(pieces, **limits)

@@ -47,6 +47,7 @@ from pyspark.sql import types as T
 
 from skylag.llm import hashing
 from skylag.llm.keys import col
+from skylag.llm.workers import lean, small_batches
 from skylag.sources.scratch import materialize
 
 BUCKET_BITS = 16
@@ -160,7 +161,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_ratio(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     """log(target / raw) of each bucket; `sample` has at most 2 * TARGET_ROWS rows."""
     marked = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text")).join(F.broadcast(sample), "doc_id", "left")
-    parts = marked.select("text", F.coalesce("good", F.lit(0)).alias("good")).mapInArrow(_count, "bucket int, raw long, target long")
+    parts = marked.select("text", F.coalesce("good", F.lit(0)).alias("good")).mapInArrow(lean(_count), "bucket int, raw long, target long")
     raw, target = np.zeros(1 << BUCKET_BITS), np.zeros(1 << BUCKET_BITS)
     for r in parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
@@ -188,7 +189,7 @@ def fit_words(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.ndarra
         return run
 
     def counts(good: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        found = rows.where(F.col("good") == good).select("text").mapInArrow(counted(known), "word long, n long")
+        found = rows.where(F.col("good") == good).select("text").mapInArrow(lean(counted(known)), "word long, n long")
         found = found.groupBy("word").agg(F.sum("n").alias("n"))
         # At most 2 * TARGET_ROWS rows of text are counted, and only words of several of them arrive.
         listed = (found if good else found.where(F.col("n") >= WORD_ROWS)).toArrow()
@@ -278,7 +279,7 @@ def weigh(
             )
 
     slim = docs.select(col("doc_id").cast("long").alias("doc_id"), col("text").alias("text"), _noise_column().alias("noise"))
-    return slim.mapInArrow(run, "doc_id long, n_grams long, log_weight double, word_weight double, score double, order_key long")
+    return slim.mapInArrow(lean(run), "doc_id long, n_grams long, log_weight double, word_weight double, score double, order_key long")
 
 
 def best_cut(weighed: DataFrame, sample: DataFrame) -> float:
@@ -329,7 +330,8 @@ class Selection:
 
 def score(docs: DataFrame, labels: DataFrame, good, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """One row per document: its weights, its noisy score, and whether it is among the k."""
-    chosen = Selection(docs, labels, good, k, temperature)
+    with small_batches(docs.sparkSession):
+        chosen = Selection(docs, labels, good, k, temperature)
     return chosen.weights.select(
         "doc_id", "n_grams", "log_weight", "word_weight", "score", (F.col("order_key") >= chosen.threshold).alias("kept")
     )
@@ -337,7 +339,8 @@ def score(docs: DataFrame, labels: DataFrame, good, k: int | None = None, temper
 
 def select_documents(docs: DataFrame, labels: DataFrame, good, k: int | None = None, temperature: float = TEMPERATURE) -> DataFrame:
     """The rows of `docs` among the k, with all their columns; scores are worked out anew, not joined."""
-    chosen = Selection(docs, labels, good, k, temperature)
+    with small_batches(docs.sparkSession):
+        chosen = Selection(docs, labels, good, k, temperature)
     ratio, words, cut, threshold = chosen.ratio, chosen.words, chosen.cut, chosen.threshold
     text_at = docs.columns.index("text")
     plain = [f"c{i}" for i in range(len(docs.columns))]  # no dots or clashes on the way through Arrow
@@ -351,4 +354,4 @@ def select_documents(docs: DataFrame, labels: DataFrame, good, k: int | None = N
             yield batch.filter(pa.array(keys >= threshold)).select(list(range(batch.num_columns - 1)))
 
     with_noise = docs.select("*", _noise_column()).toDF(*plain, "noise")
-    return with_noise.mapInArrow(run, schema).toDF(*docs.columns)
+    return with_noise.mapInArrow(lean(run), schema).toDF(*docs.columns)

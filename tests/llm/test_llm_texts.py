@@ -9,12 +9,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from llm_tables import plain
 from pyspark.sql import functions as F
 
-from skylag.llm import chat, decontaminate, licenses, packing, quality, secrets, warc
+from skylag.llm import chat, decontaminate, licenses, packing, quality, secrets, warc, workers
 from skylag.llm.queries import good_label, table, vocabulary
 
 # --- quality ---------------------------------------------------------------------------------------
@@ -136,6 +137,13 @@ def test_contaminated_rows_go(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3] and kept.columns == docs.columns
 
 
+def test_a_long_run_of_one_anchor_is_hit_whole(spark):
+    docs = plain(spark, ["the " * 20_000, "the " * 12, "other"])
+    items = spark.createDataFrame([(1, "The " * 14), (2, "the " * 13 + "end")], "item_id long, text string")
+    rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert rows == {0: (20_000, 20_000, 2), 1: (12, 0, 0), 2: (1, 0, 0)}
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 
@@ -412,3 +420,24 @@ def test_one_hot_url_equals_brute_force(spark):
     for r in warc.resolve(spark.createDataFrame(records, RECORD)).collect():
         earlier = [(x[2], x[0]) for x in records if x[3] == "response" and x[1] == r["url"] and x[2] < r["ts"]]
         assert (r["refers_ts"], r["refers_to"]) == (max(earlier) if earlier else (None, None))
+
+
+# --- memory of workers -----------------------------------------------------------------------------
+
+
+def test_small_batches_change_no_row_and_end_with_their_block(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = spark.range(0, 400, 1, 1).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.num_rows] * batch.num_rows)], ["id", "n"])
+
+    sizes = {}
+    with workers.small_batches(spark, 1 << 20):
+        sizes["small"] = texts.mapInArrow(workers.lean(run), "id long, n long").collect()
+    sizes["usual"] = texts.mapInArrow(workers.lean(run), "id long, n long").collect()
+    assert spark.conf.get(name) == before
+    assert [r["id"] for r in sizes["small"]] == [r["id"] for r in sizes["usual"]] == list(range(400))
+    assert max(r["n"] for r in sizes["small"]) < 200 < max(r["n"] for r in sizes["usual"])
