@@ -48,8 +48,8 @@ CLOSING = struct.pack("<I", 0)
 GROUP = 10_000
 #: How fast a capacity that does not bind loses weight.
 SCARCITY = 8
-#: Bytes of text whose distinct words are tokenised together: a task needs some ten times as many.
-CHUNK = 10 << 20
+#: Bytes of text whose distinct words are tokenised together: a task needs some twenty-five times as many.
+CHUNK = 4 << 20
 #: Words whose ids are put in a row at once.
 STEP = 1 << 19
 
