@@ -292,9 +292,8 @@ def _completed(rows: DataFrame, blocks: DataFrame, fanout: int, depth: int) -> D
             built = _Block([r[3] for r in block], number, fanout, depth)
             for tree, _, place, leaf, at, observed, *_ in block:
                 proof = [*built.proof(place - number * span), *middle, *high]
-                folded = root
-                if observed is not None:
-                    folded = fold(observed, run_sizes(place, leaves, fanout) + run_sizes(tree_place, trees_, fanout), proof)
+                sizes = run_sizes(place, leaves, fanout) + run_sizes(tree_place, trees_, fanout)
+                folded = fold(leaf if observed is None else observed, sizes, proof)
                 out.append((tree, at, leaf, place, leaves, tree_place, trees_, subroot, root, proof, folded))
             if len(out) >= ROWS:
                 yield _batch(out, schema)

@@ -98,3 +98,12 @@ def test_nulls_ties_repeats_and_clashing_names(spark):
     want = whole(rows)
     assert len(got) == len(rows) and all((r["subroot"], r["root"], tuple(r["proof"])) in want[r["at"], r["leaf"]] for r in got)
     assert merkle.manifest(frame.limit(0)).count() == 0
+
+
+def test_leaves_that_were_not_changed_are_folded_too(spark):
+    leaves = spark.createDataFrame([("t", i, digest(str(i))) for i in range(40)], "tree string, at long, leaf string")
+    rows, blocks = merkle.trees(leaves, depth=1)
+    wrong = blocks.withColumn("proof", F.transform("proof", lambda _: F.lit("0" * 64)))
+    for proofs, right in ((blocks, True), (wrong, False)):
+        got = merkle._completed(rows.withColumn("observed", F.lit(None).cast("string")), proofs, 3, 1).collect()
+        assert len(got) == 40 and all((r["folded_root"] == r["root"]) is right for r in got)
