@@ -6,7 +6,7 @@ capacity, one is chosen by weighted residuals: either the least norm of what wou
 the largest dot product of demand and residual (over the residual's square, so a
 tight one wins). Weights say how scarce each capacity is.
 
-1. Tokenise the distinct words of each chunk of texts once, cut documents longer than a sequence, and store one slim
+1. Tokenise the distinct words of each chunk of texts once, most of them once in a task, cut documents longer than a sequence, and store one slim
    row per piece. Special tokens' strings in a text are special tokens, as the tokenizer's plain call has it.
 2. Deal pieces by a hash of (document, piece, content, salt) into groups of about GROUP pieces and pack
    each group in one task. The salt is 0 where a piece first occurs in a batch of stored rows, and
@@ -49,7 +49,9 @@ GROUP = 10_000
 #: How fast a capacity that does not bind loses weight.
 SCARCITY = 8
 #: Bytes of text whose distinct words are tokenised together: a task needs some twenty-five times as many.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
+#: Bytes and ids of the parts of words that a task keeps from chunk to chunk, four bytes an id; further ones are tokenised in each chunk.
+KEPT = 16 << 20
 #: Words whose ids are put in a row at once.
 STEP = 1 << 19
 
@@ -78,8 +80,8 @@ _KIND[39] = _ODD
 class _Words:
     """Ids of words. The tokenizer drops white space and no rule of it reaches across, so words stand alone.
 
-    It lowers A-Z and parts letters, digits and marks, so plain words are cut there, and every distinct part is tokenised once: all
-    in one text, where letters are told apart by the tokens that end a run, and others by a special token between them.
+    It lowers A-Z and parts letters, digits and marks, so plain words are cut there, and every distinct part is tokenised once (ids of up
+    to KEPT bytes are kept for later chunks): all in one text, where letters are told apart by the tokens that end a run, and others by a special token between them.
     """
 
     def __init__(self, vocabulary: str):
@@ -92,6 +94,7 @@ class _Words:
         self.ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special]
         self.gap, self.gap_id = self.special[0], names[self.special[0]]
+        self.known, self.flat, self.edges = pa.array([], pa.binary()), np.empty(0, np.uint32), np.zeros(1, np.int64)
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -147,9 +150,21 @@ class _Words:
         kinds, marked = np.zeros(distinct, np.uint8), np.zeros(distinct, bool)
         kinds[which] = kind[start[:-1]]
         marked[which] = raw[start[:-1]]
-        flat, ends = _gather(*self._encode(coded.dictionary.to_pylist(), kinds, marked), which)
+        flat, ends = self._look_up(coded.dictionary, kinds, marked, which)
         return flat, ends[np.searchsorted(start, offsets)]
 
+    def _look_up(self, parts: pa.Array, kinds: np.ndarray, special: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the distinct parts `which`, one after another, and their edges. A part's bytes alone decide its kind."""
+        at = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        fresh = np.flatnonzero(at < 0)
+        new = parts.take(pa.array(fresh))
+        at[fresh] = len(self.known) + np.arange(len(fresh))
+        ids, ends = self._encode(new.to_pylist(), kinds[fresh], special[fresh])
+        flat, edges = np.concatenate([self.flat, ids]), np.concatenate([self.edges, self.edges[-1] + ends[1:]])
+        if self.known.nbytes + new.nbytes + flat.nbytes + edges.nbytes <= KEPT:
+            self.known, self.flat, self.edges = pa.concat_arrays([self.known, new]), flat, edges
+        return _gather(flat, edges, at[which])
+
 
 def _documents(words: _Words, texts: pa.Array) -> Iterator[bytes]:
     """Ids of each text, four bytes each, with the closing id."""
@@ -290,6 +305,6 @@ def pack(
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, **limits) -> DataFrame:
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, CHUNK):
         pieces = materialize(tokenise(docs, vocabulary, limits.get("tokens", TOKENS)), "pieces")
     return pack(pieces, **limits)

@@ -164,6 +164,24 @@ def test_pieces_hold_the_ids_of_the_whole_text(spark):
         assert sorted((r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i) == want
 
 
+def test_parts_of_words_are_tokenised_once_in_a_task(monkeypatch):
+    from tokenizers import Tokenizer
+
+    plain_call = Tokenizer.from_file(vocabulary())
+    chunks = [["The cat isn't 42, [SEP] naïve !", "the CAT"], ["", "cat the [SEP] 24 naïve"], ["isn't the dog 4"]]
+    asked, calls = [], packing._Words._ids
+    monkeypatch.setattr(packing._Words, "_ids", lambda self, texts: asked.append(texts) or calls(self, texts))
+    for kept in (packing.KEPT, 0):
+        monkeypatch.setattr(packing, "KEPT", kept)
+        words, sent = packing._Words(vocabulary()), []
+        for chunk in chunks:
+            asked.clear()
+            got = [np.frombuffer(raw, "<u4")[:-1].tolist() for raw in packing._documents(words, pa.array(chunk))]
+            assert got == [plain_call.encode(t, add_special_tokens=False).ids for t in chunk]
+            sent.append(" ".join(t for texts in asked for t in texts))
+        assert ("the" in sent[1]) is (kept == 0) and "dog" in sent[2] and ("naïve" in sent[1]) is (kept == 0)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("documents,cost", [(2048, 2048**2), (3, 2048**2), (2048, 2048**2 // 3 + 2048**2 // 2)])
 def test_every_capacity_holds_and_few_sequences_are_used(spark, rule, documents, cost):
