@@ -119,6 +119,33 @@ def test_pages_of_tied_keys_fit_together(spark):
     assert len([r for start in range(0, 6_000, 1_500) for r in page(double, ["k"], start, 1_500).collect()]) == 6_000
 
 
+@pytest.mark.parametrize("bucket_by", [None, "flight_id"])
+def test_a_commit_during_the_write_of_a_rewrite_is_not_dropped(spark, root, monkeypatch, bucket_by):
+    branches.write(_rows(spark, ("a", 1.0)), root, bucket_by=bucket_by)
+    put = branches._put
+
+    def meanwhile(df, path, *rest, **how):
+        put(df, path, *rest, **how)
+        monkeypatch.setattr(branches, "_put", put)
+        branches.write(_rows(spark, ("b", 2.0)), root, mode="append")
+
+    monkeypatch.setattr(branches, "_put", meanwhile)
+    with pytest.raises(RuntimeError, match="changed"):
+        branches.write(_rows(spark, ("a", 9.0)), root, mode="update", key="flight_id")
+    assert _content(branches.read_branch(spark, root)) == [("a", 1.0), ("b", 2.0)]
+    branches.write(_rows(spark, ("a", 9.0)), root, mode="update", key="flight_id")
+    assert _content(branches.read_branch(spark, root)) == [("a", 9.0), ("b", 2.0)]
+
+
+def test_a_large_page_is_not_one_tasks_work(spark):
+    df = spark.range(20_000).select((F.col("id") % 3 == 0).alias("k"), "id").repartition(4)
+    one = page(df, ["k"], 3_333, 9_999)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert not [step for step in ("TakeOrdered", "GlobalLimit", "CollectLimit", "SinglePartition") if step in plan]
+    whole = page(df, ["k"], 0, 20_000).collect()
+    assert len(set(whole)) == 20_000 and one.collect() == whole[3_333:13_332]
+
+
 def test_chunks_are_files_and_resume_where_they_stopped(spark, root, tmp_path):
     branches.write(spark.range(30).repartition(3), root)
     target = str(tmp_path / "copy")
