@@ -165,3 +165,7 @@ def test_other_labels_are_refused_before_they_are_collected(spark, flights):
     odd = flights.limit(50).withColumn("is_delayed", F.col("distance_miles"))
     with pytest.raises(ValueError, match="labels 0 and 1"):
         model.DelayEnsemble(["distance_miles"]).fit(odd)
+
+
+def test_a_forest_keeps_the_nodes_of_its_rows(spark):
+    assert model._forest(model.ForestParams(), "w", 1).getCacheNodeIds()
