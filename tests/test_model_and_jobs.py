@@ -169,3 +169,16 @@ def test_other_labels_are_refused_before_they_are_collected(spark, flights):
 
 def test_a_forest_keeps_the_nodes_of_its_rows(spark):
     assert model._forest(model.ForestParams(), "w", 1).getCacheNodeIds()
+
+
+def test_fits_read_stored_vectors_and_stored_points(flights, monkeypatch):
+    stored = {}
+
+    def keep(df, label, **options):
+        stored.setdefault(label, []).append(set(df.columns))
+        return materialize(df, label, **options)
+
+    monkeypatch.setattr(model, "materialize", keep)
+    jobs.fit(flights, model.EnsembleParams.small())
+    assert stored["training"] == [{"label", "features", "_watched", "_fold"}]
+    assert stored["points"] == [{"_vote", "label", "n"}] * 3
