@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from skylag.functions import flight
-from skylag.operators import explain, model
+from skylag.operators import explain, model, trees
 from skylag.plans import jobs, views
 from skylag.sources import branches
 from skylag.sources.scratch import materialize
@@ -182,3 +185,40 @@ def test_fits_read_stored_vectors_and_stored_points(flights, monkeypatch):
     jobs.fit(flights, model.EnsembleParams.small())
     assert stored["training"] == [{"label", "features", "_watched", "_fold"}]
     assert stored["points"] == [{"_vote", "label", "n"}] * 3
+
+
+def test_votes_and_calibration_are_those_of_mllib(trained, flights):
+    fitted = trained[1]
+    model_ = fitted.ensemble
+    rows = explain._vectors(model_, fitted.features.transform(flights), ["flight_id"])
+    voted = model._with_votes(rows, model_.forests())
+    assert "ArrowEvalPython" in voted._jdf.queryExecution().executedPlan().toString()
+    for k, fold in enumerate(model_.folds):
+        for learner in fold.learners:
+            voted = learner.transform(voted)
+        voted = fold.calibrate(voted, k)
+    for k, fold in enumerate(model_.folds):
+        parts = [vector_to_array(F.col(m.getProbabilityCol()))[1] for m in fold.learners]
+        gap = voted.agg(F.max(F.abs(flight.soft_vote(*parts) - F.col(f"_vote_{k}"))), F.count(F.lit(1))).first()
+        assert gap[0] < 1e-12 and gap[1] == flights.count()
+        pairs = [(r[0], r[1]) for r in voted.select(f"_vote_{k}", f"_calibrated_{k}").distinct().collect()]
+        assert np.abs(fold.curve()(np.array([v for v, _ in pairs])) - [c for _, c in pairs]).max() < 1e-12
+
+
+def test_occlusion_shuffles_nothing(trained, flights):
+    values = explain.occlusion(trained[1].ensemble, trained[1].features.transform(flights))
+    assert "Exchange hash" not in values._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_block_goes_down_uneven_trees(spark):
+    # x0 <= 0.5 ? 1 : (x1 <= 2 ? 2 : 4), and a tree that is one leaf
+    leaf = -1
+    forest = trees.Forest(
+        0, "c", False, np.array([0, 5]), np.array([0.5, 2.0]), np.array([0, -1, 1, -1, -1, -1]), np.array([0.5, 0, 2.0, 0, 0, 0]),
+        np.array([1, leaf, 3, leaf, leaf, leaf]), np.array([2, leaf, 4, leaf, leaf, leaf]), np.array([0.0, 1, 3, 2, 4, 10]),
+    )
+    x = np.array([[0.0, 9.0], [1.0, 2.0], [1.0, 3.0], [np.nan, 3.0]])
+    assert forest.depths == [2, 0]
+    assert forest.margins(x).tolist() == [20.5, 21.0, 22.0, 22.0]
+    assert forest.changes(x).tolist() == [[0, 0], [-0.5, 0], [-1.5, -1.0], [-1.5, -1.0]]
+    assert trees.rowwise(lambda b: b, pa.array([], pa.list_(pa.float64()))).to_pylist() == []
