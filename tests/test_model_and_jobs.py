@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import threading
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -187,6 +189,27 @@ def test_fits_read_stored_vectors_and_stored_points(flights, monkeypatch):
     assert stored["points"] == [{"_vote", "label", "n"}] * 3
 
 
+def test_a_fold_boosts_beside_its_forest(spark, monkeypatch):
+    forests, boost, grow = threading.Event(), model.GBTClassifier.fit, model.RandomForestClassifier.fit
+    beside = []
+
+    def boosted(self, rows):
+        beside.append(forests.wait(20))
+        return boost(self, rows)
+
+    def forest(self, rows):
+        forests.set()
+        return grow(self, rows)
+
+    monkeypatch.setattr(model.GBTClassifier, "fit", boosted)
+    monkeypatch.setattr(model.RandomForestClassifier, "fit", forest)
+    rows = spark.range(240).selectExpr("id AS flight_id", "id % 7 AS x", "id % 11 AS y", "int(id % 7 > 4) AS is_delayed")
+    fitted = model.DelayEnsemble(["x", "y"], settings=model.EnsembleParams.small()).fit(rows)
+    assert beside == [True] * 6
+    assert [[type(m).__name__[:3] for m in fold.learners] for fold in fitted.folds] == [["GBT", "GBT", "Ran"]] * 3
+    assert all(a.getWeightCol() == "_w_scaled" and b.getWeightCol() == "_w_balanced" for a, b, _ in (f.learners for f in fitted.folds))
+
+
 def test_votes_and_calibration_are_those_of_mllib(trained, flights):
     fitted = trained[1]
     model_ = fitted.ensemble
