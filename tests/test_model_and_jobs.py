@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF_SMALL
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from skylag.functions import flight
@@ -210,6 +210,37 @@ def test_a_fold_boosts_beside_its_forest(spark, monkeypatch):
     assert all(a.getWeightCol() == "_w_scaled" and b.getWeightCol() == "_w_balanced" for a, b, _ in (f.learners for f in fitted.folds))
 
 
+def test_nodes_of_the_boosted_learners_are_read_beside_the_forest(spark, monkeypatch):
+    read, nodes, grow = {k: threading.Event() for k in range(3)}, trees.nodes, model.RandomForestClassifier.fit
+    beside = []
+
+    def reading(learner, fold, name, session):
+        found = nodes(learner, fold, name, session)
+        if name == "b":
+            read[fold].set()
+        return found
+
+    def forest(self, rows):
+        beside.append(read[int(self.getRawPredictionCol()[-1])].wait(60))
+        return grow(self, rows)
+
+    monkeypatch.setattr(trees, "nodes", reading)
+    monkeypatch.setattr(model.RandomForestClassifier, "fit", forest)
+    rows = spark.range(240).selectExpr("id AS flight_id", "id % 7 AS x", "id % 11 AS y", "int(id % 7 > 4) AS is_delayed")
+    fitted = model.DelayEnsemble(["x", "y"], settings=model.EnsembleParams.small()).fit(rows)
+    assert beside == [True] * 3
+    for k, fold in enumerate(fitted.folds):
+        assert [(f.fold, f.learner, f.boosted) for f in fold.forests] == [(k, "a", True), (k, "b", True), (k, "c", False)]
+
+
+def test_nodes_of_trees_without_a_split(spark):
+    rows = spark.range(40).selectExpr("array(0.0D, 0.0D) AS x", "double(id % 4 = 0) AS label", "1.0D AS w")
+    rows = rows.withColumn("features", array_to_vector("x"))
+    forest = trees.nodes(model._named(model._forest(model.ForestParams(3, 2), "w", 1), "c0").fit(rows), 0, "c", spark)
+    assert forest.depths == [0, 0, 0] and forest.threshold.tolist() == [0.0] * 3
+    assert np.allclose(forest.margins(np.zeros((2, 2))), forest.value.mean())
+
+
 def test_votes_and_calibration_are_those_of_mllib(trained, flights):
     fitted = trained[1]
     model_ = fitted.ensemble
