@@ -233,6 +233,19 @@ def test_nodes_of_the_boosted_learners_are_read_beside_the_forest(spark, monkeyp
         assert [(f.fold, f.learner, f.boosted) for f in fold.forests] == [(k, "a", True), (k, "b", True), (k, "c", False)]
 
 
+def test_a_fold_boosts_both_learners_at_once(spark, monkeypatch):
+    boost, both = model.GBTClassifier.fit, {k: threading.Barrier(2) for k in range(3)}
+
+    def boosted(self, rows):
+        both[int(self.getRawPredictionCol()[-1])].wait(60)
+        return boost(self, rows)
+
+    monkeypatch.setattr(model.GBTClassifier, "fit", boosted)
+    rows = spark.range(240).selectExpr("id AS flight_id", "id % 7 AS x", "id % 11 AS y", "int(id % 7 > 4) AS is_delayed")
+    fitted = model.DelayEnsemble(["x", "y"], settings=model.EnsembleParams.small()).fit(rows)
+    assert [[m.getRawPredictionCol() for m in fold.learners] for fold in fitted.folds] == [[f"_raw_{n}{k}" for n in "abc"] for k in range(3)]
+
+
 def test_nodes_of_trees_without_a_split(spark):
     rows = spark.range(40).selectExpr("array(0.0D, 0.0D) AS x", "double(id % 4 = 0) AS label", "1.0D AS w")
     rows = rows.withColumn("features", array_to_vector("x"))
