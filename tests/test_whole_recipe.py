@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -27,8 +29,9 @@ def test_a_forest_grown_in_parts_is_one(spark, monkeypatch, tmp_path):
     rows = spark.range(300).selectExpr("array(double(id % 7), double(id % 11)) AS x", "double(id % 7 > 4) AS label", "1.0D AS w")
     rows = rows.withColumn("features", array_to_vector("x"))
     grown, parts, joined = [], [], model._joined
-    monkeypatch.setattr(model, "_joined", lambda some: (parts.extend(some), grown.append(joined(some)))[1] or grown[-1])
-    forest = model._grown(model.ForestParams(5, 3), "w", 1, "c0", rows)
+    monkeypatch.setattr(model, "_joined", lambda some, session: (parts.extend(some), grown.append(joined(some, session)))[1] or grown[-1])
+    with ThreadPool(1) as pool:  # as the folds are: a thread that has no active session
+        forest = pool.apply(model._grown, (model.ForestParams(5, 3), "w", 1, "c0", rows))
     assert [p.getNumTrees for p in parts] == [2, 2, 1] and forest.getNumTrees == 5
     assert len({t for p in parts for t in [p.toDebugString]}) == 3  # no part repeats another
     forest.write().save(str(tmp_path / "forest"))
